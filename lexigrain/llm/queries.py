@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, quality
-from .common import table
+from . import bpe, linededup, mixing, quality, tokenfile
+from .common import scratch, table
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "ids")
+    tokenfile.write_dataset(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, vocabulary=50257)
+    return tokenfile.read_documents(spark, path)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.DEFAULT_RANKS), public_tokenizers.PATTERN)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +92,4 @@ c AS (SELECT *, pi > 0 AND sum(size) OVER (PARTITION BY source ORDER BY q, doc_i
 SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * (certain + CASE WHEN picked THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
 }
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op8_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_line_dedup, op5_byte_bpe, op8_quality_rules, op10_mixing)}
