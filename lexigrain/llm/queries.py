@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, mixing, quality, tokenfile
+from . import bpe, linededup, mixing, quality, tokenfile, warc
 from .common import scratch, table
 
 
@@ -20,6 +20,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.DEFAULT_RANKS), public_tokenizers.PATTERN)
 
 
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
@@ -38,6 +44,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 SQL = {
+    "op2_warc_archive": r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages),
+h AS (SELECT *, sha1(body) AS x FROM p),
+g AS (SELECT *, [('0x' || substr(x, 10 * k + 1, 10))::BIGINT FOR k IN range(4)] AS parts FROM h)
+SELECT page_id, octet_length(body)::BIGINT AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((parts[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> best THEN best END AS refers_to FROM g""",
     "op4_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, md5(coalesce(text, '')) AS body, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos,
@@ -92,4 +106,4 @@ c AS (SELECT *, pi > 0 AND sum(size) OVER (PARTITION BY source ORDER BY q, doc_i
 SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * (certain + CASE WHEN picked THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_line_dedup, op5_byte_bpe, op8_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc_archive, op4_line_dedup, op5_byte_bpe, op8_quality_rules, op10_mixing)}
