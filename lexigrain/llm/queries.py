@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, mixing, quality, tokenfile, warc
+from . import bpe, egojoin, langid, linededup, mixing, quality, tokenfile, warc
 from .common import scratch, table
 
 
@@ -31,6 +31,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return egojoin.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -65,6 +73,15 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op6_embedding_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, min(r.b) AS component_id, e.vec_id = min(r.b) AS kept
+FROM embeddings e JOIN r ON r.a = e.vec_id GROUP BY e.vec_id""",
     "op8_quality_rules": rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS body, {WORDS} AS w FROM documents),
 tok AS (SELECT doc_id, generate_subscripts(w, 1) AS i, w FROM d WHERE len(w) >= 5),
@@ -106,4 +123,4 @@ c AS (SELECT *, pi > 0 AND sum(size) OVER (PARTITION BY source ORDER BY q, doc_i
 SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * (certain + CASE WHEN picked THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc_archive, op4_line_dedup, op5_byte_bpe, op8_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc_archive, op4_line_dedup, op5_byte_bpe, op6_embedding_dedup, op7_language_id, op8_quality_rules, op10_mixing)}
