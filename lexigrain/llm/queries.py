@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, egojoin, langid, linededup, mixing, quality, tokenfile, warc
+from . import bpe, egojoin, jaccard, langid, linededup, mixing, quality, tokenfile, warc
 from .common import scratch, table
 
 
@@ -26,6 +26,10 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
@@ -60,6 +64,19 @@ SELECT page_id, octet_length(body)::BIGINT AS payload_bytes,
        array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((parts[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1) FOR i IN range(32)], '') AS payload_digest,
        CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> best THEN best END AS refers_to FROM g""",
+    "op3_ngram_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) AS g FROM w WHERE len(w) > 0),
+k AS (SELECT min(doc_id) AS cid, len(any_value(g)) AS n, any_value(g) AS g, list(doc_id) AS docs FROM g GROUP BY md5(array_to_string(list_sort(g), chr(10)))),
+t AS (SELECT cid, n, unnest(g) AS t FROM k),
+p AS (SELECT a.cid AS a, b.cid AS b FROM t a JOIN t b ON a.t = b.t AND a.cid <> b.cid GROUP BY a.cid, b.cid, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
+r AS (SELECT cid AS a, cid AS b FROM k UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a AS cid, min(b) AS class_id FROM r GROUP BY a),
+l AS (SELECT k.cid, len(k.docs) - 1 + coalesce((SELECT sum(len(o.docs)) FROM p JOIN k o ON o.cid = p.b WHERE p.a = k.cid), 0) AS n_links FROM k),
+m AS (SELECT unnest(docs) AS doc_id, cid FROM k)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, d.doc_id = coalesce(class_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN m USING (doc_id) LEFT JOIN c USING (cid) LEFT JOIN l USING (cid)""",
     "op4_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, md5(coalesce(text, '')) AS body, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos,
@@ -123,4 +140,4 @@ c AS (SELECT *, pi > 0 AND sum(size) OVER (PARTITION BY source ORDER BY q, doc_i
 SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * (certain + CASE WHEN picked THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc_archive, op4_line_dedup, op5_byte_bpe, op6_embedding_dedup, op7_language_id, op8_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc_archive, op3_ngram_jaccard, op4_line_dedup, op5_byte_bpe, op6_embedding_dedup, op7_language_id, op8_quality_rules, op10_mixing)}
