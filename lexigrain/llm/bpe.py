@@ -79,15 +79,12 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         chars = byte_characters()
         self.mapping = {b: c for b, c in enumerate(chars)}
-        self.memo = ChunkMemo(self._encode_parts)
+        self.memo = ChunkMemo(self.split, self._merge)
         self.numbers = [str(i) for i in range(len(self.tokens))]
 
-    def _encode_parts(self, texts: list[str]) -> list[list[int]]:
-        parts = [self.split(t) for t in texts]
-        distinct = list(dict.fromkeys(x for p in parts for x in p))
-        mapped = [x.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.mapping) for x in distinct]
-        ids = dict(zip(distinct, self.model.encode(mapped, num_threads=1), strict=True)) if distinct else {}
-        return [[i for x in p for i in ids[x]] for p in parts]
+    def _merge(self, parts: list[str]) -> list[list[int]]:
+        mapped = [x.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.mapping) for x in parts]
+        return self.model.encode(mapped, num_threads=1) if mapped else []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.memo.ids(texts)
@@ -121,9 +118,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(ranks_path, pattern)
         for b in batches:
-            ids = bpe.encode([t or "" for t in b.column("text").to_pylist()])
-            ends = np.cumsum([0, *map(len, ids)]).astype("int32")
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.empty(0, "<u4")]).astype("int32")))
+            ids, ends = bpe.memo.encode(b.column("text"))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("int32")), pa.array(ids.astype("int32")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "ids"])
 
     small_batches(docs.sparkSession)
@@ -153,7 +149,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizer
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(ranks_path, pattern)
         for b in batches:
-            ids = bpe.encode([t or "" for t in b.column("text").to_pylist()])
+            flat, ends = bpe.memo.encode(b.column("text"))
+            ids = np.split(flat, ends[:-1])[: len(ends)]
             columns = [
                 b.column("doc_id"),
                 pa.array([len(x) for x in ids], pa.int64()),

@@ -69,7 +69,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most `rows` documents, so that a Python worker's memory doesn't follow the default of 10,000."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 4000, size: int = 16 << 20) -> None:
+    """Arrow batches of at most `rows` rows and about `size` bytes (or one row), so that long texts don't fill a worker."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        if int(spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b")) > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))

@@ -1,51 +1,125 @@
-"""Encoding by chunks with a memory of chunks seen, for tokenizers that split text before merging.
+"""Encoding with a memory of chunks and pre-tokens seen, for tokenizers that split text before merging.
 
-Byte-level patterns attach a single space to what follows it, so a token boundary always lies before a space that a
-character other than white space follows. Texts are cut there, each different chunk is encoded once, and a text's ids
-are the joined ids of its chunks. A text in which some cut would not be such a boundary is encoded whole.
+Byte-level patterns attach a single space to what follows it, so a pre-token begins at every space that is followed by
+something other than white space. Texts are cut there by Arrow, which also finds the different chunks of a batch; a
+chunk not seen before is split by the pattern, a pre-token not seen before is merged by the tokenizer, and numpy gathers
+the ids of all chunks.
 """
 
 from __future__ import annotations
 
+import gc
+from array import array
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Not white space for every library's version of Unicode; a cut before one of these is not taken for safe.
+#: Not white space for every library's version of Unicode: no cut is made before one of these.
 UNSURE = frozenset("\u180e\u200b\u200c\u200d\u2060\ufeff")
+#: Characters that patterns keep together after a word: no letter, number, white space or apostrophe.
+ENDS = ".,;:!?"
+
+
+def glued(chunks: list[str]) -> list[str]:
+    """chunks of text.split(" "), each with its space again; one that no cut may precede is joined to the one before."""
+    out = [chunks[0]]
+    for c in chunks[1:]:
+        if not c or c[0].isspace() or c[0] in UNSURE:
+            out[-1] += " " + c
+        else:
+            out.append(" " + c)
+    return out
 
 
 class ChunkMemo:
-    """encode: a list of strings to as many id lists. Beyond `limit` remembered chunks the memory starts anew."""
-
-    def __init__(self, encode: Callable[[list[str]], Iterable[Sequence[int]]], limit: int = 300_000):
-        self.encode, self.limit = encode, limit
-        self.known: dict[str, bytes | None] = {}
-
-    def _learn(self, chunks: Iterable[str]) -> None:
-        sure = []
-        for c in chunks:
-            if not c or c[0].isspace() or c[0] in UNSURE:
-                self.known[c] = None  # a text with this one is encoded whole
-            else:
-                sure.append(c)
-        for c, ids in zip(sure, self.encode([" " + c for c in sure]), strict=True):
-            self.known[c] = np.asarray(ids, dtype="<u4").tobytes()
+    """split: a text to its pre-tokens; merge: pre-tokens to as many id lists.
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text as unsigned 32-bit integers. Memory: the limit and the different chunks of texts."""
-        cut = [t.split(" ") for t in texts]
-        seen = set().union(*cut)
-        missing = seen - self.known.keys()
-        if len(self.known) + len(missing) > self.limit:
-            self.known.clear()
-            missing = seen
-        self._learn(missing)
-        known, out = self.known, []
-        for text, chunks, head in zip(texts, cut, self.encode([c[0] for c in cut]), strict=True):
-            try:
-                tail = b"".join([known[c] for c in chunks[1:]])
-                out.append(np.concatenate([np.asarray(head, dtype="<u4"), np.frombuffer(tail, dtype="<u4")]))
-            except TypeError:  # a cut that may be no boundary
-                out.append(np.asarray(next(iter(self.encode([text]))), dtype="<u4"))
+    Beyond `limit` remembered chunks or pre-tokens a memory starts anew, so it is bounded by the limit and what one call
+    brings.
+    """
+
+    def __init__(self, split: Callable[[str], list[str]], merge: Callable[[list[str]], Iterable[Sequence[int]]], limit: int = 600_000):
+        self.split, self.merge, self.limit = split, merge, limit
+        self.chunks: dict[str, bytes | None] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _split_chunk(self, c: str) -> list[str]:
+        """The pre-tokens of a chunk and its space; words, and words before a sentence's marks, need no pattern."""
+        if c.isalpha():
+            return [" " + c]
+        word = c.rstrip(ENDS)
+        if word.isalpha():
+            return [" " + word, c[len(word) :]]
+        return self.split(" " + c)
+
+    def _ids(self, split: list[list[str]]) -> list[bytes]:
+        parts = self.parts
+        new = list({p for s in split for p in s if p not in parts})
+        if len(parts) + len(new) > self.limit:
+            parts.clear()
+            new = list({p for s in split for p in s})
+        for p, ids in zip(new, self.merge(new), strict=True):
+            parts[p] = array("I", ids).tobytes()
+        return [parts[s[0]] if len(s) == 1 else b"".join([parts[p] for p in s]) for s in split]
+
+    def _learn(self, missing: list[str]) -> list[bytes | None]:
+        """Remembers the chunks; their ids, or None for one that no cut may precede: texts with it are glued."""
+        if len(self.chunks) + len(missing) > self.limit:
+            self.chunks.clear()
+        sure = [bool(c) and not c[0].isspace() and c[0] not in UNSURE for c in missing]
+        got = iter(self._ids([self._split_chunk(c) for c, s in zip(missing, sure, strict=True) if s]))
+        out = [next(got) if s else None for s in sure]
+        self.chunks.update(zip(missing, out, strict=True))
         return out
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids as unsigned 32-bit integers, and where those of each text end; null counts as empty."""
+        collects = gc.isenabled()
+        gc.disable()  # the many lists of a batch hold no cycles, and each full collection walks the memories
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        cut = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        bounds = cut.offsets.to_numpy().astype("i8")
+        bounds -= bounds[0]
+        coded = cut.flatten().dictionary_encode()
+        which = coded.indices.to_numpy().astype("i8")
+        chunks = coded.dictionary.to_pylist()
+        get = self.chunks.get
+        pieces = [get(c, chunks) for c in chunks]
+        missing = [k for k, p in enumerate(pieces) if p is chunks]
+        for k, p in zip(missing, self._learn([chunks[k] for k in missing]), strict=True):
+            pieces[k] = p
+        unsafe = np.asarray([p is None for p in pieces])
+        first = [chunks[k] for k in which[bounds[:-1]].tolist()]  # each text's head has no space before it
+        pieces = [p or b"" for p in pieces] + self._ids([self.split(c) for c in first])
+        unsafe = np.concatenate([unsafe, np.zeros(len(first), dtype=bool)])
+        which[bounds[:-1]] = len(chunks) + np.arange(len(first))
+        sizes = np.asarray([len(p) for p in pieces], dtype="i8") // 4
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        flat = np.frombuffer(b"".join(pieces), dtype="<u4")
+        each = sizes[which]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(starts[which] - upto[:-1], each) + np.arange(upto[-1])]
+        ends = upto[bounds[1:]]
+        odd = np.unique(np.searchsorted(bounds, np.flatnonzero(unsafe[which]), side="right") - 1)
+        return self._glue(texts, ids, ends, odd.tolist()) if len(odd) else (ids, ends)
+
+    def _glue(self, texts: pa.StringArray, ids: np.ndarray, ends: np.ndarray, odd: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The result with the texts of `odd` encoded from glued chunks."""
+        each = np.split(ids, ends[:-1])
+        for k in odd:
+            whole = glued(texts[k].as_py().split(" "))
+            each[k] = np.frombuffer(b"".join(self._ids([self.split(c) for c in whole])), dtype="<u4")
+        return np.concatenate(each), np.cumsum([len(x) for x in each])
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        flat, ends = self.encode(pa.array(texts, pa.string()))
+        return np.split(flat, ends[:-1]) if len(texts) else []

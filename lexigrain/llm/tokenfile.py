@@ -15,13 +15,18 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from .bpe import byte_characters
 from .common import small_batches
+from .memo import ChunkMemo
 
 MAGIC = b"LGIDS001"
 HEAD = struct.Struct("<8sIIQQ")  # magic, bits, ids in a block, documents, ids
@@ -125,22 +130,26 @@ class Reader:
         return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
-_tokenizers: dict[str, object] = {}
+_tokenizers: dict[str, ChunkMemo] = {}
 
 
-def _encoder(path: str):
-    """One tokenizer for each worker process, which encodes without special tokens and takes their strings as text."""
-    if path not in _tokenizers:
-        import os
+def _encoder(path: str) -> ChunkMemo:
+    """One byte-level tokenizer for each worker process; strings of special tokens are ordinary text.
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    The library's model merges each pre-token; only what splits them is done here, by the pattern that the library's
+    byte-level pre-tokenizer has, since its own makes an object for each pre-token of each text.
+    """
+    if path not in _tokenizers:
+        tokenizer = Tokenizer.from_file(path)
+        if type(tokenizer.pre_tokenizer).__name__ != "ByteLevel" or tokenizer.pre_tokenizer.add_prefix_space or tokenizer.normalizer:
+            raise ValueError("a byte-level tokenizer without a prefix space and a normalizer is needed")
+        model, mapping = tokenizer.model, dict(enumerate(byte_characters()))
 
-        from .memo import ChunkMemo
+        def merge(parts: list[str]) -> list[list[int]]:
+            mapped = [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(mapping) for p in parts]
+            return [[t.id for t in model.tokenize(m)] for m in mapped]
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _tokenizers[path] = ChunkMemo(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        _tokenizers[path] = ChunkMemo(regex.compile(public_tokenizers.PATTERN).findall, merge)
     return _tokenizers[path]
 
 
@@ -166,7 +175,8 @@ def write_dataset(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
 
         for b in batches:
             end = np.asarray([end_id], dtype="<u4")
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.ids([t or "" for t in b.column("text").to_pylist()]), strict=True):
+            flat, ends = encoder.encode(b.column("text"))
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), np.split(flat, ends[:-1])[: len(ends)], strict=True):
                 if writer is None:
                     name = f"ids-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.bin"
                     out = fs.open_output_stream(f"{at}/{name}")
