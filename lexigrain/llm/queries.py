@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, egojoin, jaccard, langid, linededup, mixing, quality, tokenfile, warc
+from . import bpe, egojoin, jaccard, langid, linededup, lmscore, mixing, quality, tokenfile, warc
 from .common import scratch, table
 
 
@@ -48,6 +48,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -140,4 +144,4 @@ c AS (SELECT *, pi > 0 AND sum(size) OVER (PARTITION BY source ORDER BY q, doc_i
 SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * (certain + CASE WHEN picked THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc_archive, op3_ngram_jaccard, op4_line_dedup, op5_byte_bpe, op6_embedding_dedup, op7_language_id, op8_quality_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc_archive, op3_ngram_jaccard, op4_line_dedup, op5_byte_bpe, op6_embedding_dedup, op7_language_id, op8_quality_rules, op9_lm_score, op10_mixing)}
