@@ -139,26 +139,29 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text_bytes binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode() and decode() of every text in one pass over the rows.
 
     ids_sha256 is of the decimal ids joined by commas, decoded_sha256 of the bytes decoded from the ids, both in
-    lower-case hex. Null text counts as empty; an empty table gives no rows; repeated rows give repeated rows.
+    lower-case hex. with_ids adds ids: little-endian integers of 16 bits, or 32 for a larger vocabulary. Null text counts
+    as empty; an empty table gives no rows; repeated rows give repeated rows.
     """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(ranks_path, pattern)
+        kind = "<u2" if len(bpe.tokens) <= 1 << 16 else "<u4"
         for b in batches:
             flat, ends = bpe.memo.encode(b.column("text"))
             ids = np.split(flat, ends[:-1])[: len(ends)]
             columns = [
                 b.column("doc_id"),
                 pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(bpe.decimal(x)).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                pa.array([hashlib.sha256(bpe.decimal(x)).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
+            ] + [pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())] * with_ids
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)

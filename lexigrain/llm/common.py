@@ -74,3 +74,23 @@ def small_batches(spark: SparkSession, rows: int = 4000, size: int = 16 << 20) -
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         if int(spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b")) > most:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
+#: Rows up to which a table of slim rows may be broadcast.
+BROADCAST_ROWS = 100_000
+SALTS = 32
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, small_key: str, spread: Column, name: str, how: str = "inner") -> DataFrame:
+    """big joined with small, which has a slim row for each key (null equals null); a key may hold much of big.
+
+    small is written and counted: up to BROADCAST_ROWS rows it is broadcast, beyond them each of its rows is dealt to
+    SALTS partitions and big's rows are spread over these by `spread`, so that no key lands in one task.
+    """
+    side = written(small, name)
+    same = F.col(key).eqNullSafe(F.col(small_key))
+    if side.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(side), same, how)
+    salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = big.withColumn("_deal", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, same & (F.col("_deal") == F.col("_salt")), how).drop("_deal", "_salt")

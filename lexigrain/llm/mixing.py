@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import join_hot, n_words, written
 
 BUCKETS = 4096
 
@@ -50,7 +50,7 @@ def _odds(u: Column, pi: Column) -> Column:
     return F.try_divide(u / (1 - u), pi / (1 - pi))
 
 
-def mixing_plan(sizes: DataFrame, seed: int = 17, **targets) -> DataFrame:
+def mixing_plan(sizes: DataFrame, **targets) -> DataFrame:
     """source, source_size, target, certain (whole copies), cut (last q, doc_id and size of the sample, or null).
 
     sizes has doc_id, source, size, u. A document belongs to the sample of its source if (q, doc_id, size) is not above
@@ -91,7 +91,7 @@ def copies(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     bucket = F.floor(F.col("u") * BUCKETS).cast("int")
     key = F.struct(_odds(F.col("u"), F.col("pi")).alias("q"), "doc_id", "size")
     drawn = (F.col("pi") > 0) & (F.coalesce(bucket <= F.col("whole"), F.lit(False)) | F.coalesce(key <= F.col("cut"), F.lit(False)))
-    joined = sizes.join(p, F.col("source").eqNullSafe(F.col("_s")))
+    joined = join_hot(sizes, p, "source", "_s", F.col("doc_id"), "plan")
     return joined.select(*sizes.columns, "source_size", "target", (F.col("certain") + F.coalesce(drawn, F.lit(False)).cast("long")).alias("copies"))
 
 
@@ -102,4 +102,12 @@ def mix(docs: DataFrame, seed: int = 17, **targets) -> DataFrame:
     the cut, where each counts once more. The same input and seed give the same mix. An empty table gives no rows.
     """
     sizes = written(document_sizes(docs, seed), "sizes")
-    return copies(sizes, mixing_plan(sizes, seed, **targets)).select("doc_id", "source", "size", "source_size", "target", "copies")
+    return copies(sizes, mixing_plan(sizes, **targets)).select("doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def mixed_documents(docs: DataFrame, seed: int = 17, **targets) -> DataFrame:
+    """The rows of docs as often as mix() takes them, with their columns. Texts are read twice and never shuffled."""
+    slim = written(document_sizes(docs, seed), "sizes")
+    whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))  # no column can clash
+    taken = copies(document_sizes(whole, seed, ("_row",)), mixing_plan(slim, **targets))
+    return taken.where("copies > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")

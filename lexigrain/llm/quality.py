@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, let, words, written
+from .common import WHITE, join_hot, let, words, written
 
 WINDOW = 5
 RULES = ("too_short", "repetitive", "symbols", "dup_lines")
@@ -105,16 +105,18 @@ def host_verdicts(stats: DataFrame, host: str = "source", reject_above: float =
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id",), reject_above: float = 0.5) -> DataFrame:
-    """keep, the statistics, base_failed, host_rate and kept: one row for each input row, repeated rows included.
+    """keep, the statistics, base_failed and kept: one row for each input row, repeated rows included.
 
     base_failed: under 10 words, or more than a fifth of the words in repeated windows. kept: not base_failed and the
-    host is not rejected. A null host has no verdict and rejects nothing. An empty table gives an empty result.
+    host is not rejected. A null host has no verdict and rejects nothing. An empty table gives an empty result. keep may
+    name the text: rows then carry it, and only rejected hosts are joined to them.
     """
     cols = tuple(dict.fromkeys((*keep, host)))
     stats = written(document_stats(docs, text, cols), "quality")
-    hosts = host_verdicts(stats, host, reject_above).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), "rejected")
+    rejected = host_verdicts(stats, host, reject_above).where("rejected").select(F.col("host").alias("_host"), "rejected")
     base = F.col("fail_too_short") | F.col("fail_repetitive")
-    return stats.join(hosts, F.col(host) == F.col("_host"), "left").select(
+    joined = join_hot(stats, rejected, host, "_host", F.col(cols[0]), "hosts", "left")
+    return joined.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (~base & ~F.coalesce("rejected", F.lit(False))).alias("kept"), "host_rate",
+        base.alias("base_failed"), (~base & ~F.coalesce("rejected", F.lit(False))).alias("kept"),
     )
