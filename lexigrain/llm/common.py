@@ -38,7 +38,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read again: cuts lineage, survives lost executors, is computed once."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what written() wrote. Only for tables whose every use has itself been written."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import small_batches, written
+from .common import discard, small_batches, written
 
 #: Rounding in projections and distances.
 SLACK = 1e-6
@@ -209,11 +209,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, dims: int = 4, blo
     rows, classes = _classes(vectors)
     rows, classes = written(rows, "vectors"), written(classes, "classes")
     axes = _axes_by_width(classes, dims, sample_rows)
-    blocks = written(_blocks(written(_grid(classes, axes, eps, dims), "grid"), axes, dims, block), "blocks")
+    grid = written(_grid(classes, axes, eps, dims), "grid")
+    blocks = written(_blocks(grid, axes, dims, block), "blocks")
     pairs = written(_block_pairs(blocks, eps, dims), "pairs")
     data = blocks.select("block", "width", "cids", "copies", "vectors")
     spread = pairs.join(data, "block").join(_other(blocks.select("block", "cids", "copies", "vectors")), "block2")
     found = written(_links(spread, axes, threshold, eps, dims), "found")
+    discard(grid, blocks, pairs)
     comps = graph.components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy(F.col("cid").alias("s_cid")).agg(F.sum("links").alias("links"))
     known = classes.select("h1", "h2", "cid", "copies").join(sums, F.col("cid") == F.col("s_cid"), "left").join(comps, F.col("cid") == F.col("node"), "left")

@@ -6,14 +6,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over distinct edges (u, v) with u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    large = both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
     moved = large.join(least, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
@@ -31,7 +31,9 @@ def components(links: DataFrame) -> DataFrame:
         mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if mark == before or not mark[0]:
             break
-        edges, before = written(_stars(edges), "links"), mark
+        done, before = edges, mark
+        edges = written(_stars(edges), "links")
+        discard(done)
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

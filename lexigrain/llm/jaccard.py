@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import small_batches, written
+from .common import discard, small_batches, written
 
 WIDTH = 5
 PLACES = 64
@@ -43,7 +43,7 @@ class Shingler:
     def words(self, text: str) -> np.ndarray:
         tokens = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and [\\x20\\x09-\\x0D]
         known = self.known
-        new = set(tokens) - known.keys()
+        new = [w for w in set(tokens) if w not in known]
         if new:
             if len(known) + len(new) > self.limit:
                 known.clear()
@@ -65,11 +65,32 @@ class Shingler:
 
 
 def signature(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """16 bits of the min-hash at each place."""
-    low = np.full(len(seeds), np.uint64(2**64 - 1))
-    for a in range(0, len(shingles), 1024):
-        np.minimum(low, ((shingles[a : a + 1024, None] ^ seeds) * MIX[0]).min(0), out=low)
-    return (mixed(low) >> np.uint64(48)).astype("<u2")
+    """A min-hash of 64 bits at each of len(seeds) places (a power of two): a fast similarity sketch.
+
+    In each round every shingle falls into one place, whose value is the least of its hashes in the first round that
+    brings any. Round 0 uses the sorted hashes themselves; long texts end after two rounds. After as many rounds as
+    places, a place that is still empty takes the least hash of all shingles, so signatures of any two sets compare.
+    """
+    places = len(seeds)
+    shift = np.uint64(64 - (places.bit_length() - 1))
+    starts = np.arange(places, dtype="u8") << shift
+    at = np.minimum(np.searchsorted(shingles, starts), len(shingles) - 1)
+    out = shingles[at]
+    empty = (out >> shift) != np.arange(places, dtype="u8")
+    for r in range(1, places):
+        if not empty.any():
+            break
+        h = mixed(shingles ^ seeds[r])
+        place = (h >> shift).astype("i8")
+        fits = empty[place]
+        h, place = h[fits], place[fits]
+        order = np.argsort(h)
+        filled, first = np.unique(place[order], return_index=True)
+        out[filled] = h[order][first] + np.uint64(r)
+        empty[filled] = False
+    for k in np.flatnonzero(empty):
+        out[k] = mixed(shingles ^ ~seeds[k]).min()
+    return mixed(out)
 
 
 def runs_needed(threshold: float, recall: float, depth: int) -> int:
@@ -84,58 +105,65 @@ def runs_needed(threshold: float, recall: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - alive))
 
 
-def _describe(docs: DataFrame, places: int) -> DataFrame:
-    """doc_id, set_hash (16 bytes, null without shingles), sig (bytes) of each document; reads whole texts once."""
-    seeds = mixed(np.arange(1, places + 1, dtype="u8"))
+def _spread(places: int) -> np.ndarray:
+    return mixed(np.arange(1, places + 1, dtype="u8") * MIX[1])
+
+
+def _sampled(path: np.ndarray, threshold: float, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of path, place) of the places that each node samples: each with probability 1 / (threshold * places).
+
+    They depend on the path alone, so all classes of a node share them.
+    """
+    limit = np.uint64(min(int(2**64 / (threshold * places)), 2**64 - 1))
+    return np.nonzero(mixed(path[:, None] ^ _spread(places)) < limit)
+
+
+def _describe(docs: DataFrame, places: int, runs: int, threshold: float) -> DataFrame:
+    """doc_id, set_hash (16 bytes, null without shingles), sig (16 bits for each place), paths: reads whole texts once.
+
+    paths are the children of the runs' roots, the first split: by 64 bits of the sampled places' values.
+    """
+    seeds, at = mixed(np.arange(1, places + 1, dtype="u8")), _spread(places)
+    roots = mixed(np.arange(1, runs + 1, dtype="u8") * MIX[2])
+    run_of, place = _sampled(roots, threshold, places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler, start = Shingler(), mixed(roots[run_of] + at[place])
         for b in batches:
-            keys, sigs = [], []
+            keys, sigs, paths = [], [], []
             for text in b.column("text").to_pylist():
                 s = shingler.shingles(text)
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sigs.append(signature(s, seeds).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "set_hash", "sig"])
+                if not len(s):
+                    keys, sigs, paths = [*keys, None], [*sigs, None], [*paths, None]
+                    continue
+                sig = signature(s, seeds)
+                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                sigs.append((sig >> np.uint64(48)).astype("<u2").tobytes())
+                paths.append(mixed(start + sig[place]).view("i8"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "set_hash", "sig", "paths"])
 
     small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return slim.mapInArrow(run, "doc_id long, set_hash binary, sig binary")
+    return slim.mapInArrow(run, "doc_id long, set_hash binary, sig binary, paths array<long>")
 
 
-def _children(nodes: DataFrame, level: int, runs: int, threshold: float, places: int) -> DataFrame:
-    """path, cid, sig one level deeper: each node samples 1 / threshold of the places, and classes split by their values.
-
-    Level 0 has a single node for each run. The places depend on the path alone, so all classes of a node share them.
-    """
-    schema = pa.schema([("path", pa.int64()), ("cid", pa.int64()), ("sig", pa.binary())])
-    limit = np.uint64(int(2**64 / (threshold * places)) & (2**64 - 1))
-    at = mixed(np.arange(1, places + 1, dtype="u8") * MIX[1])
-
-    def batch(path: np.ndarray, cid: np.ndarray, sig: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        child = mixed(mixed(path + at[place]) + sig[np.arange(len(cid)), place])
-        sigs = pa.array([x.tobytes() for x in sig] if level else [b""] * len(cid), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(child.view("i8")), pa.array(cid), sigs], schema=schema)
+def _children(nodes: DataFrame, threshold: float, places: int) -> DataFrame:
+    """path, cid, sig one level deeper than nodes(path, cid, sig): classes split by their values at sampled places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots = mixed(np.arange(1, runs + 1, dtype="u8") * MIX[2])
+        at = _spread(places)
         for b in batches:
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(-1, places)
-            cid = b.column("cid").to_numpy(zero_copy_only=False)
-            if level == 0:
-                for k, place in zip(*np.nonzero(mixed(roots[:, None] ^ at) < limit), strict=True):
-                    yield batch(np.full(len(cid), roots[k]), cid, sig, np.full(len(cid), place))
-            else:
-                path = b.column("path").to_numpy(zero_copy_only=False).view("u8")
-                row, place = np.nonzero(mixed(path[:, None] ^ at) < limit)
-                yield batch(path[row], cid[row], sig[row], place)
+            path = b.column("path").to_numpy(zero_copy_only=False).view("u8")
+            row, place = _sampled(path, threshold, places)
+            child = mixed(mixed(path[row] + at[place]) + sig[row, place])
+            yield pa.RecordBatch.from_arrays([pa.array(child.view("i8")), b.column("cid").take(pa.array(row)), b.column("sig").take(pa.array(row))], ["path", "cid", "sig"])
 
-    cols = ["cid", "sig"] if level == 0 else ["path", "cid", "sig"]
-    return nodes.select(*cols).mapInArrow(run, "path long, cid long, sig binary")
+    return nodes.select("path", "cid", "sig").mapInArrow(run, "path long, cid long, sig binary")
 
 
-def _tiled(rows: DataFrame, group: str, size: Column, tile: int, spread: Column) -> DataFrame:
-    """rows with tile (group, low, high of a pair of parts) and own (the row's part).
+def _tiled(rows: DataFrame, size: Column, tile: int, spread: Column) -> DataFrame:
+    """rows, whose group has `size` rows, with low and high (the parts that a tile has) and own (the row's part).
 
     A group of up to `tile` rows has one tile; a larger one is cut into parts and each row goes to the tiles of its part
     with every part, so a task gets two parts at most and all pairs meet.
@@ -197,7 +225,8 @@ def _near_signatures(tiles: DataFrame, least: int, places: int) -> DataFrame:
             yield links(*rest)
 
     keys = ["path", "low", "high"]
-    return tiles.select(*keys, "cid", "sig").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    dealt = tiles.select(*keys, "cid", "sig").repartition(*keys).sortWithinPartitions(*keys, "cid")  # roots are smallest cids
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -245,12 +274,12 @@ def _verified(tiles: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[root[some]])], ["cid", "links", "root"])
 
     keys = ["cluster", "low", "high"]
-    sorted_ = tiles.select(*keys, "cid", "copies", "own", "text").repartition(*keys).sortWithinPartitions(*keys)
+    sorted_ = tiles.select(*keys, "cid", "copies", "own", "text").repartition(*keys).sortWithinPartitions(*keys, "cid")
     return sorted_.mapInArrow(run, "cid long, links long, root long")
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 80, recall: float = 0.9999, depth: int = 3, bucket: int = 128, tile: int = 512, places: int = PLACES
+    docs: DataFrame, percent: int = 80, recall: float = 0.999, depth: int = 3, bucket: int = 256, tile: int = 512, places: int = PLACES
 ) -> DataFrame:
     """doc_id, class_id, n_links, kept for docs(doc_id, text): one row for each input row.
 
@@ -263,34 +292,36 @@ def near_duplicates(
     threshold = percent / 100
     runs = runs_needed(threshold, recall, depth)
     least = max(1, int(places * (threshold - 4 * math.sqrt(threshold * (1 - threshold) / places))))
-    described = written(_describe(docs, places), "signatures")
+    described = written(_describe(docs, places, runs, threshold), "signatures")
     member = F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull()
-    classes = written(
-        described.where(member).groupBy("set_hash").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "classes"
-    )
-    sigs = classes.select(F.col("cid").alias("s_cid"), F.col("sig").alias("s_sig"))
-    found, nodes = [], classes.select("cid", "sig")
+    grouped = described.where(member).groupBy("set_hash")
+    classes = written(grouped.agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("paths").alias("paths")), "classes")
+    sigs = classes.select(F.col("cid").alias("s_cid"), F.col("sig"))
+    found, nodes, used = [], None, []
     for level in range(depth):
-        children = written(_children(nodes, level, runs, threshold, places), "nodes")
+        children = classes.select(F.explode("paths").alias("path"), "cid") if level == 0 else written(_children(nodes, threshold, places), "nodes")
+        used += [children] if level else []
         sizes = children.groupBy(F.col("path").alias("p")).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         live = children.join(sizes, F.col("path") == F.col("p"))
         if level == 0:  # signatures join the nodes that are not alone
-            live = live.join(sigs, F.col("cid") == F.col("s_cid")).select("path", "cid", F.col("s_sig").alias("sig"), "size")
+            live = live.join(sigs, F.col("cid") == F.col("s_cid"))
         live = written(live.select("path", "cid", "sig", "size"), "live")
+        used.append(live)
         last = level == depth - 1
         small = live if last else live.where(F.col("size") <= bucket)
-        tiles = _tiled(small, "path", F.col("size"), tile, F.xxhash64("cid"))
+        tiles = _tiled(small, F.col("size"), 8 * tile, F.xxhash64("cid"))
         found.append(_near_signatures(tiles, least, places))
         nodes = live.where(F.col("size") > bucket)
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.unionByName(f)
     clusters = written(graph.components(pairs), "clusters")
+    discard(*used)
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     of = clusters.join(sizes, "component").join(classes.select("cid", "copies"), F.col("node") == F.col("cid")).select("cid", F.col("component").alias("cluster"), "size", "copies")
     texts = docs.select(F.col("doc_id").cast("long").alias("t_id"), F.col("text").cast("string").alias("text"))
     members = texts.join(of, F.col("t_id") == F.col("cid")).select("cid", "cluster", "size", "copies", "text")
-    checked = written(_verified(_tiled(members, "cluster", F.col("size"), tile, F.xxhash64("cid")), percent), "checked")
+    checked = written(_verified(_tiled(members, F.col("size"), tile, F.xxhash64("cid")), percent), "checked")
     groups = graph.components(checked.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     sums = checked.groupBy(F.col("cid").alias("c_id")).agg(F.sum("links").alias("links"))
     known = classes.select(F.col("set_hash").alias("k"), "cid", "copies").join(sums, F.col("cid") == F.col("c_id"), "left").join(groups, F.col("cid") == F.col("node"), "left")
