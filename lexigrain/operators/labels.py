@@ -4,24 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LABELS, label_origin, numbered_id, parsed_confidence, parsed_label
+from .ranking import numbered
 
 
 def batches(df: DataFrame, order: str, size: int = 50, prefix: str = "P", width: int = 4) -> DataFrame:
-    """df with id and batch: numbered in order, `size` rows to a batch.
-
-    The number is the row's place in its range partition plus the rows of the ranges before, so no task sorts all rows.
-    """
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    n = (F.col("_n") + F.col("_b")).cast("long")
-    out = local.join(F.broadcast(before), F.col("_part") == F.col("_p"))
-    return out.withColumn("id", numbered_id(prefix, width, n)).withColumn("batch", (F.floor((n - 1) / size) + 1).cast("int")).drop("_part", "_n", "_p", "_b")
+    """df with id and batch: numbered in order, `size` rows to a batch."""
+    n = F.col("_number")
+    out = numbered(df, "_number", order).withColumn("id", numbered_id(prefix, width, n))
+    return out.withColumn("batch", (F.floor((n - 1) / size) + 1).cast("int")).drop("_number")
 
 
 def batch_problems(expected: DataFrame, answers: DataFrame) -> DataFrame:

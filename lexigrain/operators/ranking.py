@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with a number from 1 in the given order (ascending, nulls first), without one task that sorts all rows.
+
+    A row's number is its place in its range partition plus the rows of the ranges before. The order should be unique:
+    rows that tie may change places between runs.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    # written, since ranges drawn anew for a second use need not be the same
+    local = written(ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order))), "ranges")
+    counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    so_far = F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(F.col("_part").alias("_p"), F.coalesce(so_far, F.lit(0)).alias("_b"))  # a row for each partition
+    out = local.join(F.broadcast(before), F.col("_part") == F.col("_p"))
+    return out.withColumn(name, (F.col("_n") + F.col("_b")).cast("long")).drop("_part", "_n", "_p", "_b")
+
 
 def candidate_order(df: DataFrame, by: str = "category", url: str = "url", vote: str = "vote", sold: str = "sold", low: float = 4.5, least: int = 3) -> DataFrame:
     """df with pick and place: products of low votes take turns with best-sellers in each category.
@@ -29,7 +46,7 @@ def candidate_order(df: DataFrame, by: str = "category", url: str = "url", vote:
 def round_robin(df: DataFrame, by: str, by_order: str, place: str = "place", key: str = "url") -> DataFrame:
     """df with turn: first places of all categories, then second ones, ...; a key seen before is left out."""
     once = df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(place, by_order))).where("_n = 1").drop("_n")
-    return once.withColumn("turn", F.row_number().over(Window.orderBy(place, by_order)))
+    return numbered(once, "turn", place, by_order)
 
 
 def page_caps(df: DataFrame, cap: int, product_cap: int = 300) -> DataFrame:
@@ -57,8 +74,8 @@ def top_per_group(df: DataFrame, by: str, score: str, tie: str, k: int) -> DataF
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def strided(df: DataFrame, order: Column | str, picks: int = 8) -> DataFrame:
+def strided(df: DataFrame, order: str, picks: int = 8) -> DataFrame:
     """About `picks` rows at equal distances: every max(1, n / picks)-th, the first `picks` of them."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    numbered = df.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1).withColumn("_k", F.greatest(F.floor(n / picks), F.lit(1)))
-    return numbered.where((F.col("_i") % F.col("_k") == 0) & (F.col("_i") / F.col("_k") < picks)).drop("_i", "_k")
+    n = df.agg(F.greatest(F.floor(F.count(F.lit(1)) / picks), F.lit(1)).alias("_k"))
+    placed = numbered(df, "_i", order).crossJoin(F.broadcast(n)).withColumn("_i", F.col("_i") - 1)
+    return placed.where((F.col("_i") % F.col("_k") == 0) & (F.col("_i") / F.col("_k") < picks)).drop("_i", "_k")

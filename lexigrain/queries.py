@@ -144,22 +144,6 @@ def leak_guard(spark, sf_dir):
     return cleaning.leak_guard(df.where("row_id % 10 <> 0"), df.where("row_id % 10 = 0")).select("row_id", "leaked")
 
 
-@query("""
-WITH b AS (SELECT item_id, text FROM benchmark WHERE length(text) > 0)
-SELECT row_id, count(*) AS n_items FROM reviews r JOIN b ON contains(r.text, b.text) GROUP BY row_id""")
-def benchmark_containment(spark, sf_dir):
-    """Documents that hold a whole benchmark text: its first words find the candidates, the whole text decides."""
-    docs = load_reviews(spark, sf_dir).select("row_id", "text")
-    items = table(spark, sf_dir, "benchmark").where(F.length("text") > 0)
-    words = lambda t: F.split(t, "[^\\p{L}\\p{N}]+")
-    inner = lambda t: F.element_at(F.filter(words(t), lambda w: w != ""), 2)
-    keyed = items.select("item_id", F.col("text").alias("item"), F.coalesce(inner(F.when(F.size(F.filter(words(F.col("text")), lambda w: w != "")) >= 3, F.col("text"))), F.lit("")).alias("key"))
-    each = docs.select("row_id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("w"))
-    long = each.join(keyed.where("key <> ''"), F.col("w") == F.col("key")).where(F.contains("text", F.col("item"))).select("row_id", "item_id")
-    short = docs.join(F.broadcast(keyed.where("key = ''")), F.contains("text", F.col("item"))).select("row_id", "item_id")
-    return long.unionByName(short).distinct().groupBy("row_id").agg(F.count(F.lit(1)).alias("n_items"))
-
-
 def _gold(spark, sf_dir):
     return load_reviews(spark, sf_dir).where("row_id % 3 = 0").select(F.col("row_id").alias("gold_id"), "label", "label_star", "star")
 
@@ -502,9 +486,7 @@ f AS (SELECT b, model, l.label, coalesce(2.0::DOUBLE * count(*) FILTER (t = l.la
 q AS (SELECT b, model, avg(f1) AS f1 FROM f GROUP BY b, model)
 SELECT model, round(quantile_cont(f1, 0.025), 4) AS ci95_low, round(quantile_cont(f1, 0.975), 4) AS ci95_high FROM q GROUP BY model""")
 def bootstrap_ci(spark, sf_dir):
-    from pyspark.sql import Window
-
-    df = labelled(spark, sf_dir).withColumn("r", F.row_number().over(Window.orderBy("row_id")) - 1)  # a test set's rows
+    df = ranking.numbered(labelled(spark, sf_dir), "r", "row_id").withColumn("r", F.col("r") - 1)
     return metrics.bootstrap_f1(df, "r", "label", ["label_star", "label_other"], df.count(), resamples=200)
 
 
