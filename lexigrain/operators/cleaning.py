@@ -88,14 +88,24 @@ def tfidf_vectors(df: DataFrame, doc: str, tokens: Column, sublinear: bool = Fal
 def near_pairs(vectors: DataFrame, above: float = 0.9) -> DataFrame:
     """i, j, cosine of each pair i < j of unit vectors (doc, term, df, w) with a cosine above the bound.
 
-    Exact, by prefixes: terms from rare to frequent, a vector's prefix ends where the rest's norm is under the bound; a
-    pair above it shares a term of both prefixes. Only these rare terms are joined, then the pairs' whole vectors.
+    Exact, by prefixes: terms from rare to frequent, a vector's prefix ends where the norm of the rest is under the bound,
+    so a pair above it shares a term of both prefixes. Only these rare terms are joined. A candidate's products so far and
+    the norms of what may follow its last shared term (in the vector whose prefix ends first: of what follows the prefix)
+    bound its cosine; whole vectors are joined for the few pairs that the bound leaves.
     """
     order = Window.partitionBy("doc").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
-    rest = vectors.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(order))
-    prefix = rest.where((F.col("rest") >= above * above - 1e-9) & (F.col("df") > 1)).select("doc", "term")
-    left, right = prefix.select(F.col("doc").alias("i"), "term"), prefix.select(F.col("doc").alias("j"), F.col("term").alias("t2"))
-    pairs = left.join(right, (F.col("term") == F.col("t2")) & (F.col("i") < F.col("j"))).select("i", "j").distinct()
+    square = F.col("w") * F.col("w")
+    prefix = vectors.withColumn("rest", F.sum(square).over(order)).where(F.col("rest") >= above * above - 1e-9)
+    whole = Window.partitionBy("doc")
+    prefix = prefix.select(
+        "doc", "term", "df", "w", (F.col("rest") - square).alias("after"), F.max(F.struct("df", "term")).over(whole).alias("cut"), F.min(F.col("rest") - square).over(whole).alias("tail")
+    ).where("df > 1").drop("df")
+    left, right = (prefix.select("term", *[F.col(c).alias(c + n) for c in ("doc", "w", "after", "cut", "tail")]) for n in "ij")
+    met = left.join(right.withColumnRenamed("term", "term2"), (F.col("term") == F.col("term2")) & (F.col("doci") < F.col("docj")))
+    first = [F.first(c).alias(c) for c in ("cuti", "cutj", "taili", "tailj")]
+    near = met.groupBy("doci", "docj").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"), F.min("afteri").alias("ai"), F.min("afterj").alias("aj"), *first)
+    follow = F.when(F.col("cuti") <= F.col("cutj"), F.col("taili") * F.col("aj")).otherwise(F.col("ai") * F.col("tailj"))
+    pairs = near.where(F.col("dot") + F.sqrt(F.greatest(follow, F.lit(0.0))) > above - 1e-9).select(F.col("doci").alias("i"), F.col("docj").alias("j"))
     a = vectors.select(F.col("doc").alias("da"), F.col("term").alias("ta"), F.col("w").alias("wa"))
     b = vectors.select(F.col("doc").alias("db"), F.col("term").alias("tb"), F.col("w").alias("wb"))
     dots = pairs.join(a, F.col("i") == F.col("da")).join(b, (F.col("j") == F.col("db")) & (F.col("ta") == F.col("tb")))

@@ -14,7 +14,7 @@ from .operators import aggregates, cleaning, features, labels, metrics, ranking,
 from .plans import models
 from .sources import html as web
 from .sources.reviews import load_reviews, table
-from .storage import shared_dir
+from .storage import shared_dir, written
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,7 +127,8 @@ p AS (SELECT a.row_id AS i, b.row_id AS j, sum(a.w * b.w) AS c FROM v a JOIN v b
 
 @query(VECTORS + "\nSELECT i, j, round(c, 6) AS cosine FROM p")
 def near_dup_pairs(spark, sf_dir):
-    vectors = cleaning.tfidf_vectors(_unique_texts(spark, sf_dir), "row_id", F.regexp_extract_all("text_norm", F.lit(f"[{tx.WORD}]+"), F.lit(0)))
+    words = F.regexp_extract_all("text_norm", F.lit(f"[{tx.WORD}]+"), F.lit(0))
+    vectors = written(cleaning.tfidf_vectors(_unique_texts(spark, sf_dir), "row_id", words), "tfidf")
     return cleaning.near_pairs(vectors).select("i", "j", F.round("cosine", 6).alias("cosine"))
 
 
