@@ -46,7 +46,8 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     runs = written(sorted_runs(docs, min_chars), "runs")
     once = runs.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
     firsts = once.groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs)
-    firsts = firsts.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first_doc")
+    # a table, so that both sides of the join are dealt for it and a hot key's lines can be split
+    firsts = written(firsts.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first_doc"), "firsts")
     gone = runs.join(firsts, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     word, bit = F.shiftright("pos", 6), F.expr("shiftleft(1L, pos % 64)")
     by_word = gone.groupBy("doc_id", "body", word.alias("word")).agg(F.bit_or(bit).alias("set"))
