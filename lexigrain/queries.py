@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as sc
 from .functions import text as tx
-from .operators import aggregates, cleaning, features, labels, metrics, ranking, sampling
+from .operators import aggregates, cleaning, features, joins, labels, metrics, ranking, sampling
 from .plans import models
 from .sources import html as web
 from .sources.reviews import load_reviews, table
@@ -631,3 +631,76 @@ def stream_ingest(spark, sf_dir):
     query_ = ingest.append_to(ingest.once_each(stream, "event_id", None).select("event_id", "user_id", "event_type"), f"{out}/{state}/rows", f"{out}/{state}/state")
     query_.awaitTermination()
     return spark.read.parquet(f"{out}/{state}/rows")
+
+
+@query("""
+SELECT a.row_id, a.product_id, b.label_star FROM reviews a JOIN reviews b ON a.row_id = b.row_id WHERE a.row_id % 2 = 0""")
+def validated_join(spark, sf_dir):
+    df = load_reviews(spark, sf_dir)
+    return joins.one_to_one(df.where("row_id % 2 = 0").select("row_id", "product_id"), df.select("row_id", "label_star"), "row_id")
+
+
+@query("""
+WITH t AS (SELECT row_id, label_star, CASE WHEN row_id % 7 = 0 THEN 'gold' ELSE 'pool' END AS split FROM reviews)
+SELECT split, label_star, count(*) AS n, round(100.0 * count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY split), 1) AS pct FROM t GROUP BY split, label_star""")
+def split_shares(spark, sf_dir):
+    """Gold rows and the pool without them, and each split's labels."""
+    from pyspark.sql import Window
+
+    df = load_reviews(spark, sf_dir).select("row_id", "label_star")
+    gold = df.where("row_id % 7 = 0")
+    both = joins.tagged_union({"gold": gold, "pool": joins.without(df, gold, "row_id")})
+    counts = both.groupBy("split", "label_star").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy("split")), 1))
+
+
+@query("""
+WITH a AS (SELECT DISTINCT product_id FROM reviews WHERE row_id % 19 = 3), b AS (SELECT DISTINCT product_id FROM reviews WHERE row_id % 23 = 5)
+SELECT (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS both, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS only_a, (SELECT count(*) FROM (FROM b EXCEPT FROM a)) AS only_b""")
+def key_overlap(spark, sf_dir):
+    df = load_reviews(spark, sf_dir)
+    return joins.overlap(df.where("row_id % 19 = 3"), df.where("row_id % 23 = 5"), "product_id")
+
+
+@query("SELECT product_id, count(*) AS n, CASE WHEN count(*) >= 50 THEN 'ok' ELSE 'few:' || count(*) END AS status FROM reviews GROUP BY product_id")
+def product_status(spark, sf_dir):
+    counts = load_reviews(spark, sf_dir).groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("status", joins.product_status(F.col("n"), 50))
+
+
+@query("""
+WITH r AS (SELECT l_suppkey AS product_id, l_partkey AS rid, l_linenumber % 5 + 1 AS star, l_quantity::INT % 5 + 1 AS asked, CASE WHEN l_tax > 0.01 THEN l_shipmode END AS text, l_orderkey AS page, l_linenumber AS item
+           FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem)),
+g AS (SELECT *, row_number() OVER (PARTITION BY product_id, rid ORDER BY page, item) AS n FROM r WHERE star = asked AND coalesce(text, '') <> '')
+SELECT product_id, rid, page, item FROM g WHERE n = 1 AND (product_id, rid) NOT IN (SELECT l_suppkey, l_partkey FROM lineitem WHERE l_orderkey % 10 = 0)""", base=False)
+def unseen_reviews(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    rows = line.select(
+        F.col("l_suppkey").alias("product_id"), F.col("l_partkey").alias("rid"), (F.col("l_linenumber") % 5 + 1).alias("star"), (F.col("l_quantity").cast("int") % 5 + 1).alias("asked"),
+        F.when(F.col("l_tax") > 0.01, F.col("l_returnflag")).alias("text"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("item"),
+    )
+    seen = line.where("l_orderkey % 10 = 0").select(F.col("l_suppkey").alias("product_id"), F.col("l_partkey").alias("rid"))
+    return joins.unseen(rows, seen).select("product_id", "rid", "page", "item")
+
+
+@query("""
+WITH e AS (SELECT row_id, label_star AS model, CASE WHEN row_id % 3 = 0 THEN NULL ELSE 'g' || row_id % 3 END AS grp FROM reviews WHERE label <> label_star)
+SELECT coalesce(grp, '') AS grp, count(*) FILTER (model = 'Negative') AS "Negative", count(*) FILTER (model = 'Neutral') AS "Neutral", count(*) FILTER (model = 'Positive') AS "Positive" FROM e GROUP BY 1""")
+def error_groups(spark, sf_dir):
+    df = labelled(spark, sf_dir).where("label <> label_star").select("row_id", F.col("label_star").alias("model"))
+    groups = df.where("row_id % 3 <> 0").select("row_id", F.concat(F.lit("g"), (F.col("row_id") % 3).cast("string")).alias("grp"))
+    return labels.confusion(df.join(groups, "row_id", "left").withColumn("grp", F.coalesce("grp", F.lit(""))), "grp", "model")
+
+
+@query("""
+SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(median(value), 4) AS median_value, max(value) AS most, count(*) FILTER (value > 50) AS above FROM events GROUP BY event_type""", base=False)
+def event_summary(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.median("value"), 4).alias("median_value"), F.max("value").alias("most"), F.count_if(F.col("value") > 50).alias("above")
+    )
+
+
+@query("""SELECT l_returnflag, '{"flag":"' || l_returnflag || '","status":"' || l_linestatus || '"}' AS params, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus""", base=False)
+def encoded_params(spark, sf_dir):
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("l_returnflag", F.to_json(F.struct(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))).alias("params"), "n")

@@ -128,3 +128,18 @@ def test_derived_star(spark):
     star, count = aggregates.derived_star_count([F.col(c) for c in "abcde"], F.col("n"))
     assert [tuple(r) for r in df.select(star, count).collect()] == [(3, 8), (None, None), (3, 0)]
     assert spark.range(1).select(aggregates.extrapolated_count(F.lit(4), F.lit(7))).first()[0] == 67
+
+
+def test_checked_joins(spark):
+    from lexigrain.operators import joins
+
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z"), (None, "w")], "k int, v string")
+    b = spark.createDataFrame([(1, "p"), (2, "q"), (2, "r")], "k int, u string")
+    assert joins.one_to_one(a, b.where("u <> 'r'"), "k").count() == 2
+    with pytest.raises(PySparkException):
+        joins.one_to_one(a, b, "k").collect()
+    assert joins.complete_lookup(a.where("k = 1").select("k"), b, "k").first()["u"] == "p"
+    with pytest.raises(PySparkException):
+        joins.complete_lookup(a.select("k"), b.where("k = 1"), "k").collect()
+    assert joins.without(a, b.where("k = 1"), "k").count() == 3
+    assert tuple(joins.overlap(a.where("k is not null"), b.where("k = 1"), "k").first()) == (1, 1, 0)
