@@ -79,7 +79,7 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         chars = byte_characters()
         self.mapping = {b: c for b, c in enumerate(chars)}
-        self.memo = ChunkMemo(self.split, self._merge)
+        self.memo = ChunkMemo(self.split, self._merge, limit=200_000)
         self.numbers = [str(i) for i in range(len(self.tokens))]
 
     def _merge(self, parts: list[str]) -> list[list[int]]:

@@ -37,7 +37,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of the word n-grams of texts; words are remembered up to a limit."""
 
-    def __init__(self, width: int = WIDTH, limit: int = 400_000):
+    def __init__(self, width: int = WIDTH, limit: int = 200_000):
         self.width, self.limit, self.known = width, limit, {}
 
     def words(self, text: str) -> np.ndarray:
