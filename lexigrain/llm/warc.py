@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, written
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: WARC-Date of records made here: rows have no fetch time, and reruns give the same bytes.
@@ -57,7 +57,9 @@ def record_table(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
         .groupBy("page_id", "url", "sha256", "sha1", "n_bytes")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    best = rows.groupBy(F.col("sha256").alias("r_sha")).agg(F.max(F.struct("page_id", "url")).alias("best"))
+    rows = written(rows, "digests")
+    # a table, so that both sides of the join are dealt for it and a hot payload's rows can be split
+    best = written(rows.groupBy(F.col("sha256").alias("r_sha")).agg(F.max(F.struct("page_id", "url")).alias("best")), "best")
     each = rows.join(best, F.col("sha256") == F.col("r_sha")).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     is_best = F.struct("page_id", "url").eqNullSafe(F.col("best")) & (F.col("nth") == 1)
     return each.select(
