@@ -40,39 +40,50 @@ class ChunkMemo:
     brings.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], merge: Callable[[list[str]], Iterable[Sequence[int]]], limit: int = 600_000):
+    def __init__(self, split: Callable[[str], list[str]], merge: Callable[[list[str]], Iterable[Sequence[int]]], limit: int = 700_000):
         self.split, self.merge, self.limit = split, merge, limit
-        self.chunks: dict[str, bytes | None] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _split_chunk(self, c: str) -> list[str]:
-        """The pre-tokens of a chunk and its space; words, and words before a sentence's marks, need no pattern."""
-        if c.isalpha():
-            return [" " + c]
-        word = c.rstrip(ENDS)
-        if word.isalpha():
-            return [" " + word, c[len(word) :]]
-        return self.split(" " + c)
+        self.chunks: dict[str, bytes | None] = {}  # without their space
+        self.parts: dict[str, bytes] = {}  # pre-tokens that are no word after a space
+
+    def _merged(self, parts: list[str]) -> list[bytes]:
+        return [array("I", ids).tobytes() for ids in self.merge(parts)]
 
     def _ids(self, split: list[list[str]]) -> list[bytes]:
+        """The joined ids of lists of pre-tokens."""
         parts = self.parts
         new = list({p for s in split for p in s if p not in parts})
         if len(parts) + len(new) > self.limit:
             parts.clear()
             new = list({p for s in split for p in s})
-        for p, ids in zip(new, self.merge(new), strict=True):
-            parts[p] = array("I", ids).tobytes()
+        parts.update(zip(new, self._merged(new), strict=True))
         return [parts[s[0]] if len(s) == 1 else b"".join([parts[p] for p in s]) for s in split]
 
     def _learn(self, missing: list[str]) -> list[bytes | None]:
-        """Remembers the chunks; their ids, or None for one that no cut may precede: texts with it are glued."""
+        """Remembers the chunks; their ids, or None for one that no cut may precede: texts with it are glued.
+
+        Words, and words before a sentence's marks, need no pattern: their pre-tokens are plain.
+        """
         if len(self.chunks) + len(missing) > self.limit:
             self.chunks.clear()
-        sure = [bool(c) and not c[0].isspace() and c[0] not in UNSURE for c in missing]
-        got = iter(self._ids([self._split_chunk(c) for c, s in zip(missing, sure, strict=True) if s]))
-        out = [next(got) if s else None for s in sure]
-        self.chunks.update(zip(missing, out, strict=True))
-        return out
+        known = self.chunks
+        words, marked, others = {}, [], []
+        for c in missing:
+            if c.isalpha():
+                words[c] = None
+            elif (w := c.rstrip(ENDS)).isalpha():
+                marked.append((c, w))
+                if w not in known:
+                    words[w] = None
+            elif c and not c[0].isspace() and c[0] not in UNSURE:
+                others.append(c)
+            else:
+                known[c] = None
+        known.update(zip(words, self._merged([" " + w for w in words]), strict=True))
+        marks = {c[len(w) :] for c, w in marked}
+        tails = dict(zip(marks, self._ids([[m] for m in marks]), strict=True))
+        known.update([(c, known[w] + tails[c[len(w) :]]) for c, w in marked])
+        known.update(zip(others, self._ids([self.split(" " + c) for c in others]), strict=True))
+        return [known[c] for c in missing]
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids as unsigned 32-bit integers, and where those of each text end; null counts as empty."""
@@ -106,7 +117,10 @@ class ChunkMemo:
         flat = np.frombuffer(b"".join(pieces), dtype="<u4")
         each = sizes[which]
         upto = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(starts[which] - upto[:-1], each) + np.arange(upto[-1])]
+        small = "i4" if max(upto[-1], len(flat)) < 1 << 31 else "i8"
+        at = np.repeat((starts[which] - upto[:-1]).astype(small), each)
+        at += np.arange(upto[-1], dtype=small)
+        ids = flat[at]
         ends = upto[bounds[1:]]
         odd = np.unique(np.searchsorted(bounds, np.flatnonzero(unsafe[which]), side="right") - 1)
         return self._glue(texts, ids, ends, odd.tolist()) if len(odd) else (ids, ends)

@@ -60,7 +60,7 @@ class Writer:
 
     def __init__(self, out: BinaryIO, bits: int):
         self.out, self.bits, self.at = out, bits, HEAD.size
-        self.rest = np.empty(0, dtype="<u4")
+        self.rest, self.held = [], 0
         self.ids, self.offsets, self.docs, self.nulls, self.ends = 0, [], [], [], []
         out.write(HEAD.pack(MAGIC, bits, BLOCK, 0, 0))
 
@@ -71,10 +71,14 @@ class Writer:
         self.docs.append(doc_id or 0)
         self.nulls.append(doc_id is None)
         self.ends.append(self.ids)
-        self.rest = np.concatenate([self.rest, ids])
-        while len(self.rest) >= BLOCK:
-            self._block(self.rest[:BLOCK])
-            self.rest = self.rest[BLOCK:]
+        self.rest.append(ids)
+        self.held += len(ids)
+        if self.held >= BLOCK:
+            held = np.concatenate(self.rest)
+            whole = len(held) // BLOCK * BLOCK
+            for a in range(0, whole, BLOCK):
+                self._block(held[a : a + BLOCK])
+            self.rest, self.held = [held[whole:]], len(held) - whole
 
     def _block(self, ids: np.ndarray) -> None:
         self.offsets.append(self.at)
@@ -84,8 +88,8 @@ class Writer:
 
     def close(self) -> None:
         """Writes the rest, the footer with the counts, and the tail: a stream can't go back to its header."""
-        if len(self.rest):
-            self._block(self.rest)
+        if self.held:
+            self._block(np.concatenate(self.rest))
         footer = HEAD.pack(MAGIC, self.bits, BLOCK, len(self.docs), self.ids) + np.asarray(self.offsets, "<u8").tobytes()
         footer += np.asarray(self.docs, "<i8").tobytes() + np.asarray(self.nulls, "u1").tobytes() + np.asarray(self.ends, "<u8").tobytes()
         self.out.write(footer + TAIL.pack(self.at, len(self.offsets), MAGIC))
