@@ -86,6 +86,13 @@ def seed_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     return df.groupBy(by).agg(F.count(value).alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_samp(value), 4).alias("std"))
 
 
+def seed_epochs(df: DataFrame, seed: str, epoch: str, value: str, at: int = 3) -> DataFrame:
+    """seed, value_at, best, best_epoch: each seed's value at one epoch (null if it has none), its best and the first epoch of it."""
+    best = F.max(F.struct(F.col(value).alias("v"), (-F.col(epoch)).alias("e")))
+    by_seed = df.where(F.col(value).isNotNull()).groupBy(seed).agg(F.max(F.when(F.col(epoch) == at, F.col(value))).alias("value_at"), best.alias("b"))
+    return by_seed.select(seed, "value_at", F.col("b.v").alias("best"), (-F.col("b.e")).alias("best_epoch"))
+
+
 def error_samples(df: DataFrame, row: str, truth: str, first: str, second: str, k: int = 15, seed: int = 42) -> DataFrame:
     """model, row, truth, pred, other_pred, both_wrong: k errors of each model, the second's without the first's rows."""
     from .sampling import sample_rows
