@@ -39,3 +39,8 @@ def test_seed_epochs(spark):
     three = runs.where("seed < 45").selectExpr("'all' AS g", "best", "value_at")
     assert tuple(metrics.seed_summary(three, "g", "best").first()) == ("all", 3, 0.8807, 0.0151)
     assert tuple(metrics.seed_summary(three, "g", "value_at").first()) == ("all", 3, 0.8703, 0.0132)
+
+
+@pytest.mark.parametrize("name", ["label_adjudication", "agreement_summary"])
+def test_every_review_is_adjudicated(spark, duck, name):
+    equals_whole(spark, duck, name, " WHERE row_id % 3 = 0")
