@@ -637,7 +637,7 @@ def stream_ingest(spark, sf_dir):
 SELECT a.row_id, a.product_id, b.label_star FROM reviews a JOIN reviews b ON a.row_id = b.row_id WHERE a.row_id % 2 = 0""")
 def validated_join(spark, sf_dir):
     df = load_reviews(spark, sf_dir)
-    return joins.one_to_one(df.where("row_id % 2 = 0").select("row_id", "product_id"), df.select("row_id", "label_star"), "row_id")
+    return joins.one_to_one(df.select("row_id", "product_id"), df.select("row_id", "label_star"), "row_id")
 
 
 @query("""

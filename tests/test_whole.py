@@ -44,3 +44,14 @@ def test_seed_epochs(spark):
 @pytest.mark.parametrize("name", ["label_adjudication", "agreement_summary"])
 def test_every_review_is_adjudicated(spark, duck, name):
     equals_whole(spark, duck, name, " WHERE row_id % 3 = 0")
+
+
+def test_validated_join_has_every_review(spark, duck):
+    equals_whole(spark, duck, "validated_join", " WHERE a.row_id % 2 = 0")
+
+
+def test_validated_join_checks_odd_rows_on_the_left(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "p", "Positive"), (1, "q", "Neutral"), (2, "p", "Positive")], "row_id long, product_id string, label_star string")
+    monkeypatch.setattr(queries, "load_reviews", lambda *_: rows)
+    monkeypatch.setattr(queries.joins, "one_to_one", lambda left, right, key: left)
+    assert queries.validated_join(spark, SF).count() == 3
