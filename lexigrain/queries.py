@@ -658,8 +658,9 @@ def split_shares(spark, sf_dir):
 WITH a AS (SELECT DISTINCT product_id FROM reviews WHERE row_id % 19 = 3), b AS (SELECT DISTINCT product_id FROM reviews WHERE row_id % 23 = 5)
 SELECT (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS both, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS only_a, (SELECT count(*) FROM (FROM b EXCEPT FROM a)) AS only_b""")
 def key_overlap(spark, sf_dir):
-    df = load_reviews(spark, sf_dir)
-    return joins.overlap(df.where("row_id % 19 = 3"), df.where("row_id % 23 = 5"), "product_id")
+    """Products of both sides of the split that strat_split makes, and of one alone."""
+    df = sampling.stratified_split(load_reviews(spark, sf_dir).select("row_id", "label_star", "product_id"), "label_star", "row_id")
+    return joins.overlap(df.where("split = 'train'"), df.where("split = 'val'"), "product_id")
 
 
 @query("SELECT product_id, count(*) AS n, CASE WHEN count(*) >= 50 THEN 'ok' ELSE 'few:' || count(*) END AS status FROM reviews GROUP BY product_id")

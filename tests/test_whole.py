@@ -55,3 +55,11 @@ def test_validated_join_checks_odd_rows_on_the_left(spark, monkeypatch):
     monkeypatch.setattr(queries, "load_reviews", lambda *_: rows)
     monkeypatch.setattr(queries.joins, "one_to_one", lambda left, right, key: left)
     assert queries.validated_join(spark, SF).count() == 3
+
+
+def test_key_overlap_covers_all_reviews(spark, duck):
+    both = f"s AS ({queries.SQL['strat_split']}), t AS (SELECT product_id, split FROM reviews JOIN s USING (row_id))"
+    k = "(SELECT product_id, bool_or(split = 'train') AS a, bool_or(split = 'val') AS b FROM t GROUP BY product_id)"
+    sql = f"WITH {queries.BASE}, {both} SELECT count(*) FILTER (a AND b), count(*) FILTER (a AND NOT b), count(*) FILTER (b AND NOT a), (SELECT count(DISTINCT product_id) FROM reviews) FROM {k}"
+    *want, products = duck.execute(sql).fetchone()
+    assert list(queries.key_overlap(spark, SF).first()) == want and sum(want) == products
