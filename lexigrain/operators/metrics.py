@@ -11,6 +11,10 @@ from ..functions.scalars import LABELS
 from .sampling import bootstrap_slots
 
 
+#: Rows up to which resampled predictions are broadcast.
+BROADCAST_ROWS = 100_000
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
@@ -22,18 +26,15 @@ def cells(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataF
 
 def class_report(counts: DataFrame, by: Sequence[str] = (), labels: Sequence[str] = LABELS) -> DataFrame:
     """by, label, precision, recall, f1, support for each label, present or not; 0 where a ratio has no denominator."""
-    out = None
-    total = [F.sum("n").alias("rows")]
+    total, parts = [F.sum("n").alias("rows")], []
     for k, label in enumerate(labels):
         n = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
-        one = [n((F.col("t") == label) & (F.col("p") == label)).alias(f"tp{k}"), n(F.col("p") == label).alias(f"pp{k}"), n(F.col("t") == label).alias(f"sp{k}")]
-        total += one
-    wide = counts.groupBy(*by).agg(*total)
-    for k, label in enumerate(labels):
+        total += [n((F.col("t") == label) & (F.col("p") == label)).alias(f"tp{k}"), n(F.col("p") == label).alias(f"pp{k}"), n(F.col("t") == label).alias(f"sp{k}")]
         tp, pp, sp = (F.col(f"{x}{k}") for x in ("tp", "pp", "sp"))
-        part = wide.select(*by, F.lit(label).alias("label"), _ratio(tp, pp).alias("precision"), _ratio(tp, sp).alias("recall"), _ratio(2 * tp, pp + sp).alias("f1"), sp.alias("support"), tp.alias("tp"), "rows")
-        out = part if out is None else out.unionByName(part)
-    return out
+        parts.append(F.struct(F.lit(label).alias("label"), _ratio(tp, pp).alias("precision"), _ratio(tp, sp).alias("recall"), _ratio(2 * tp, pp + sp).alias("f1"), sp.alias("support"), tp.alias("tp")))
+    # one pass for all labels: a union would count once for each
+    wide = counts.groupBy(*by).agg(*total)
+    return wide.select(*by, F.explode(F.array(*parts)).alias("c"), "rows").select(*by, "c.*", "rows")
 
 
 def classification_report(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
@@ -65,7 +66,10 @@ def bootstrap_f1(df: DataFrame, row: str, truth: str, preds: Sequence[str], n: i
     The draws join the predictions once; each resample is summed to a few counts for each model before it is scored.
     """
     draws = bootstrap_slots(df.sparkSession, n, resamples, seed)
-    drawn = draws.join(df.select(F.col(row).alias("_row"), F.col(truth).alias("_t"), *preds), F.col("row") == F.col("_row"))
+    known = df.select(F.col(row).alias("_row"), F.col(truth).alias("_t"), *preds)
+    # Spark takes the draws for few rows and would broadcast them
+    known = F.broadcast(known) if n <= BROADCAST_ROWS else known.hint("shuffle_hash")
+    drawn = draws.join(known, F.col("row") == F.col("_row"))
     counts = drawn.groupBy("b", "_t", *preds).agg(F.count(F.lit(1)).alias("n"))
     stack = F.explode(F.array(*[F.struct(F.lit(p).alias("model"), F.col(p).alias("p")) for p in preds]))
     long = counts.select("b", F.col("_t").alias("t"), "n", stack.alias("m")).select("b", "m.model", "t", "m.p", "n")

@@ -488,7 +488,7 @@ q AS (SELECT b, model, avg(f1) AS f1 FROM f GROUP BY b, model)
 SELECT model, round(quantile_cont(f1, 0.025), 4) AS ci95_low, round(quantile_cont(f1, 0.975), 4) AS ci95_high FROM q GROUP BY model""")
 def bootstrap_ci(spark, sf_dir):
     df = ranking.numbered(labelled(spark, sf_dir), "r", "row_id").withColumn("r", F.col("r") - 1)
-    return metrics.bootstrap_f1(df, "r", "label", ["label_star", "label_other"], df.count(), resamples=200)
+    return metrics.bootstrap_f1(df, "r", "label", ["label_star", "label_other"], df.count())
 
 
 @query(LABELLED + """,

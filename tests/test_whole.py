@@ -63,3 +63,17 @@ def test_key_overlap_covers_all_reviews(spark, duck):
     sql = f"WITH {queries.BASE}, {both} SELECT count(*) FILTER (a AND b), count(*) FILTER (a AND NOT b), count(*) FILTER (b AND NOT a), (SELECT count(DISTINCT product_id) FROM reviews) FROM {k}"
     *want, products = duck.execute(sql).fetchone()
     assert list(queries.key_overlap(spark, SF).first()) == want and sum(want) == products
+
+
+def test_bootstrap_has_2000_resamples(spark, duck):
+    sql = queries.SQL["bootstrap_ci"].replace("range(200) ", "range(2000) ")
+    pd.testing.assert_frame_equal(normal(queries.bootstrap_ci(spark, SF).toPandas()), normal(duck.execute(sql).df()), check_dtype=False)
+
+
+def test_bootstrap_never_broadcasts_the_draws(spark, monkeypatch):
+    df = spark.range(50).selectExpr("id AS r", "'Negative' AS label", "IF(id % 3 = 0, 'Neutral', 'Negative') AS p")
+    small = metrics.bootstrap_f1(df, "r", "label", ["p"], 50, 40)
+    monkeypatch.setattr(metrics, "BROADCAST_ROWS", 10)
+    large = metrics.bootstrap_f1(df, "r", "label", ["p"], 50, 40)
+    assert "BroadcastHashJoin" not in large._jdf.queryExecution().executedPlan().toString()
+    assert small.collect() == large.collect()
