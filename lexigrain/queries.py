@@ -608,9 +608,9 @@ def rff_svm_predict(spark, sf_dir):
 @query()
 def w2v_features(spark, sf_dir):
     df = labelled(spark, sf_dir).select(F.col("row_id").alias("doc"), "text")
-    vectors = models.word_vectors(df, "text", size=16, epochs=1)
+    vectors = models.word_vectors(df, "text")
     w = features.tfidf_features(df, "doc", "text", 1, 1, sublinear=False)
-    return features.weighted_mean_vectors(w, vectors, df, 16)
+    return features.weighted_mean_vectors(w, vectors, df, 200)
 
 
 @query()

@@ -1,5 +1,6 @@
 """Queries that do the whole job: against their SQL without the filters that cut its input."""
 
+import inspect
 import os
 
 import duckdb
@@ -77,3 +78,16 @@ def test_bootstrap_never_broadcasts_the_draws(spark, monkeypatch):
     large = metrics.bootstrap_f1(df, "r", "label", ["p"], 50, 40)
     assert "BroadcastHashJoin" not in large._jdf.queryExecution().executedPlan().toString()
     assert small.collect() == large.collect()
+
+
+def test_word_vectors_have_the_operators_size_and_epochs(spark, monkeypatch):
+    used, f = {}, queries.models.word_vectors
+
+    def spy(*args, **kwargs):
+        call = inspect.signature(f).bind(*args, **kwargs)
+        call.apply_defaults()
+        used.update(call.arguments)
+        return f(*args, **kwargs)
+
+    monkeypatch.setattr(queries.models, "word_vectors", spy)
+    assert len(queries.w2v_features(spark, SF).first()["vector"]) == 200 and (used["size"], used["epochs"]) == (200, 20)
