@@ -613,12 +613,27 @@ def w2v_features(spark, sf_dir):
     return features.weighted_mean_vectors(w, vectors, df, 200)
 
 
+NB_FEATURES = [("BoW", n, m) for n in ((1, 1), (1, 2)) for m in (1, 2)] + [("TF-IDF", (1, 2), m) for m in (1, 2, 3, 5)]
+
+
+def _nb_candidates(train, val):
+    """Survey M6's naive Bayes over sparse features: each setting for each feature table, fitted on train."""
+    for name, (low, high), min_df in NB_FEATURES:
+        known = features.term_counts(train, "doc", "text", low, high, min_df)
+        if name == "BoW":
+            terms = known.select("term").distinct()
+            weights = lambda part: features.term_counts(part, "doc", "text", low, high).join(terms, "term", "left_semi").withColumnRenamed("tf", "w")  # noqa: B023, E731
+        else:
+            idf = features.idf_table(known, train.agg(F.count(F.lit(1)).alias("n")))
+            weights = lambda part: features.tfidf(features.term_counts(part, "doc", "text", low, high), idf)  # noqa: B023, E731
+        for _, p, predict in models.nb_candidates(train, val, weights):
+            yield f"{name} + NB", {"ngram": (low, high), "min_df": min_df} | p, predict
+
+
 @query()
 def nb_grid(spark, sf_dir):
     df = sampling.stratified_split(labelled(spark, sf_dir).select(F.col("row_id").alias("doc"), "label", "text"), "label", "doc")
-    train, val = df.where("split = 'train'"), df.where("split = 'val'")
-    counts = lambda part: features.term_counts(part, "doc", "text").withColumnRenamed("tf", "w")
-    rows = models.choose(models.nb_candidates(train, val, counts, alphas=(0.5, 1.0), priors=(True,)))
+    rows = models.choose(_nb_candidates(df.where("split = 'train'"), df.where("split = 'val'")))
     return spark.createDataFrame([(r["name"], str(r["params"]), r["macro_f1"], r["accuracy"]) for r in rows], "name string, params string, macro_f1 double, accuracy double")
 
 

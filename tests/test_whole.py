@@ -91,3 +91,12 @@ def test_word_vectors_have_the_operators_size_and_epochs(spark, monkeypatch):
 
     monkeypatch.setattr(queries.models, "word_vectors", spy)
     assert len(queries.w2v_features(spark, SF).first()["vector"]) == 200 and (used["size"], used["epochs"]) == (200, 20)
+
+
+def test_naive_bayes_grid_has_all_settings(spark):
+    rows = [(k, ["Negative", "Neutral", "Positive"][k % 3], f"w{k % 3} x w{k % 5} x") for k in range(12)]
+    df = spark.createDataFrame(rows, "doc long, label string, text string")
+    found = list(queries._nb_candidates(df, df))
+    assert len(found) == len({(n, str(p)) for n, p, _ in found}) == 64 and {p["alpha"] for _, p, _ in found} == {0.1, 0.3, 0.5, 1.0}
+    for k in (0, 24, 40, 63):
+        assert found[k][2]().where("pred = label").count() >= 4
