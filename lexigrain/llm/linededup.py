@@ -1,9 +1,9 @@
 """Line de-duplication across documents, returned as per-document bitmaps instead of text.
 
-Hashes of long lines are range-partitioned with a secondary sort by document and position and kept as sorted runs. A run
-of one hash gives its number of documents and its first (largest) document by streaming; the runs are summed before
-their shuffle, and a hash of a third of all lines spans many ranges, since document and position are part of the range
-key. Only DataFrame functions.
+Hashes of long lines are range-partitioned with a secondary sort by document and position and written. The table is read
+back without its order: a hash aggregation gives each hash's number of documents and its first (largest) document, in place
+of a streaming pass over the sorted ranges, and a join finds the lines that go. Bitmaps mark dropped lines, uncompressed.
+Only DataFrame functions.
 """
 
 from __future__ import annotations
