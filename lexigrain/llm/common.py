@@ -18,10 +18,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset (tests, local runs) a folder of our own is made."""
+    """The folder in spark.checkpoint.dir. A local master may leave it unset (tests): a folder of our own is made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lexigrain-")
@@ -88,19 +90,27 @@ def small_batches(spark: SparkSession, rows: int = 4000, size: int = 16 << 20) -
 
 #: Rows up to which a table of slim rows may be broadcast.
 BROADCAST_ROWS = 100_000
-SALTS = 32
+#: Rows beyond which a key is hot, where more than BROADCAST_ROWS keys are joined.
+HOT_ROWS = 1_000
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, small_key: str, spread: Column, name: str, how: str = "inner") -> DataFrame:
+def join_hot(big: DataFrame, small: DataFrame, key: str, small_key: str, rows: str, name: str, how: str = "inner") -> DataFrame:
     """big joined with small, which has a slim row for each key (null equals null); a key may hold much of big.
 
-    small is written and counted: up to BROADCAST_ROWS rows it is broadcast, beyond them each of its rows is dealt to
-    SALTS partitions and big's rows are spread over these by `spread`, so that no key lands in one task.
+    small's column `rows` has the number of big's rows with that key. small is written and counted: up to BROADCAST_ROWS
+    rows it is broadcast. Beyond them only its hot keys are, those with more than HOT_ROWS rows and more than one in
+    BROADCAST_ROWS of all rows (so fewer than BROADCAST_ROWS keys can be hot at any size); the others are shuffled. how
+    is inner or left; for left, small should have big's hot keys, matched or not (null apart).
     """
-    side = written(small, name)
+    side = small if hasattr(small, "written_to") else written(small, name)
     same = F.col(key).eqNullSafe(F.col(small_key))
-    if side.count() <= BROADCAST_ROWS:
+    n, total = side.agg(F.count(F.lit(1)), F.coalesce(F.sum(rows), F.lit(0))).first()
+    if n <= BROADCAST_ROWS:
         return big.join(F.broadcast(side), same, how)
-    salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = big.withColumn("_deal", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, same & (F.col("_deal") == F.col("_salt")), how).drop("_deal", "_salt")
+    most = max(HOT_ROWS, int(total) // max(1, BROADCAST_ROWS))
+    hot, cold = side.where(F.col(rows) > most), side.where(F.col(rows) <= most)
+    rest = big.join(F.broadcast(hot.select(small_key)), same, "left_anti")
+    none = F.col(key).isNull()
+    nulls = rest.where(none).join(F.broadcast(cold.where(F.col(small_key).isNull())), F.lit(True), how)
+    others = rest.where(~none).join(cold, F.col(key) == F.col(small_key), how)
+    return big.join(F.broadcast(hot), same).unionByName(others).unionByName(nulls)

@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling. Only DataFrame functions.
 
 Targets come from one row for each source. A source's whole copies are certain; what is left of its target is a
-fixed-size Pareto sample: documents in the order of random odds over inclusion odds, up to the document whose middle
-reaches the rest. The cut is found on summed buckets of the order and then, in a single bucket of 4096, exactly, so no
-task sees a whole source.
+fixed-size Pareto sample with unequal probabilities. A document's inclusion probability is proportional to its words and
+such that the expected words are what is left; documents that it would make certain are taken out first. The others are
+taken in the order of random odds over inclusion odds, up to the document whose middle reaches the rest. The cut is found
+on summed buckets of the order and then, in a single bucket of 4096, exactly, so no task sees a whole source.
 """
 
 from __future__ import annotations
@@ -46,38 +47,68 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     return full.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * F.try_divide(rest, open_w)).cast("double").alias("target"))
 
 
-def _odds(u: Column, pi: Column) -> Column:
-    return F.try_divide(u / (1 - u), pi / (1 - pi))
+def inclusion(sizes: DataFrame, goals: DataFrame) -> DataFrame:
+    """source, scale, top, sure: how the documents of each source of goals(source, rest) are included.
+
+    A document of `size` words is included with probability scale * size, so that the expected words are `rest`. Those
+    above `top` words would have a probability of 1 or more: they are certain, `sure` words in all, and taken out first.
+    The sums are over the different sizes of a source, of which there are never more than its longest document has words;
+    they are exact integers, so every run finds the same numbers.
+    """
+    exact = F.col("size").cast("decimal(19,0)")
+    by_size = sizes.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"), F.sum(exact).alias("words"))
+    order = Window.partitionBy("source").orderBy(F.desc("size"))
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    sums = by_size.select(
+        F.col("source").alias("_s"), "size", F.coalesce(F.sum("words").over(before), F.lit(0)).cast("double").alias("sure"), F.sum(F.col("words") * exact).over(after).cast("double").alias("squares"),
+    )
+    scaled = sums.join(goals.select("source", "rest"), F.col("_s").eqNullSafe(F.col("source"))).withColumn("scale", (F.col("rest") - F.col("sure")) / F.col("squares"))
+    fits = scaled.where("rest > 0 AND scale * size < 1").groupBy("source").agg(F.max(F.struct(F.col("size").alias("top"), "scale", "sure")).alias("m"))
+    return fits.select("source", "m.scale", "m.top", "m.sure")
+
+
+def _rank(u: Column, pi: Column) -> Column:
+    """Random odds over inclusion odds."""
+    return (u / (1 - u)) / (pi / (1 - pi))
+
+
+def _bucket(q: Column) -> Column:
+    """A number below BUCKETS in the order of q; where the sample ends, near odds of 1, buckets are even."""
+    return F.least(F.floor(q / (1 + q) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
 
 
 def mixing_plan(sizes: DataFrame, **targets) -> DataFrame:
-    """source, source_size, target, certain (whole copies), cut (last q, doc_id and size of the sample, or null).
+    """source, source_size, target, n, certain (whole copies), scale, top, whole and cut (where the sample ends, or null).
 
-    sizes has doc_id, source, size, u. A document belongs to the sample of its source if (q, doc_id, size) is not above
-    the cut, so that the decision joins documents with sources, never with documents.
+    sizes has doc_id, source, size, u. A document above `top` words gets one more copy for certain; another belongs to
+    the sample of its source if its bucket is not above `whole` or (q, doc_id, size) not above `cut`, so that the
+    decision joins documents with sources, never with documents.
     """
     goals = source_targets(sizes, **targets)
     ratio = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
-    goals = goals.select(
-        "source", "source_size", "target", F.floor(ratio).cast("long").alias("certain"), (ratio - F.floor(ratio)).alias("pi"),
-        (F.col("target") - F.floor(ratio) * F.col("source_size")).alias("rest"),
-    )
+    goals = goals.select("source", "source_size", "target", F.floor(ratio).cast("long").alias("certain"), (F.col("target") - F.floor(ratio) * F.col("source_size")).alias("rest"))
     goals = written(goals, "goals")
-    bucket = F.floor(F.col("u") * BUCKETS).cast("int")
-    sums = sizes.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
+    counts = sizes.groupBy(F.col("source").alias("_n")).agg(F.count(F.lit(1)).alias("n"))
+    scales = inclusion(sizes, goals).select(F.col("source").alias("_i"), "scale", "top", "sure")
+    goals = goals.join(counts, F.col("source").eqNullSafe(F.col("_n"))).join(scales, F.col("source").eqNullSafe(F.col("_i")), "left")
+    goals = written(goals.select("source", "source_size", "target", "n", "certain", "scale", "top", (F.col("rest") - F.col("sure")).alias("rest")), "goals")
+    slim = written(goals.where("scale IS NOT NULL").select(F.col("source").alias("_s"), "n", "scale", "top", "rest"), "scales")
+    open_ = join_hot(sizes.where("size > 0"), slim, "source", "_s", "n", "scales").where("size <= top").withColumn("q", _rank(F.col("u"), F.col("scale") * F.col("size")))
+    open_ = open_.select("source", "doc_id", "size", "n", "rest", "q", _bucket(F.col("q")).alias("bucket"))
+    sums = open_.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("n").alias("n"))
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
-    edges = sums.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), (upto - F.col("words")).alias("before"), upto.alias("upto"))
-    marked = edges.join(goals.select("source", "pi", "rest"), F.col("_s").eqNullSafe(F.col("source")))
-    whole = marked.where((F.col("pi") > 0) & (F.col("upto") <= F.col("rest"))).groupBy("source").agg(F.max("_b").alias("whole"))
-    partly = marked.where((F.col("pi") > 0) & (F.col("before") <= F.col("rest")) & (F.col("upto") > F.col("rest"))).select("_s", "_b", "before", "rest", "pi")
-    near = sizes.join(partly, F.col("source").eqNullSafe(F.col("_s")) & (bucket == F.col("_b")))
-    key = F.struct(_odds(F.col("u"), F.col("pi")).alias("q"), "doc_id", "size")
-    run = F.sum("size").over(Window.partitionBy("source", "_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    edges = sums.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), (upto - F.col("words")).alias("before"), upto.alias("upto"), F.col("rest").alias("_rest"), F.col("n").alias("_n"))
+    edges = written(edges, "edges")
+    whole = edges.where("upto <= _rest").groupBy("_s").agg(F.max("_b").alias("whole"))
+    partly = edges.where("before <= _rest AND upto > _rest").select("_s", "_b", "before", "_n")
+    near = join_hot(open_, partly, "source", "_s", "_n", "partly").where("bucket = _b")
+    key = F.struct("q", "doc_id", "size")
+    run = F.sum("size").over(Window.partitionBy("source").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
     taken = near.select("source", key.alias("key"), (F.col("before") + run - F.col("size") / 2 <= F.col("rest")).alias("ok"))
     cut = taken.where("ok").groupBy("source").agg(F.max("key").alias("cut"))
-    out = goals.join(whole.select(F.col("source").alias("_w"), "whole"), F.col("source").eqNullSafe(F.col("_w")), "left")
+    out = goals.join(whole.select(F.col("_s").alias("_w"), "whole"), F.col("source").eqNullSafe(F.col("_w")), "left")
     out = out.join(cut.select(F.col("source").alias("_c"), "cut"), F.col("source").eqNullSafe(F.col("_c")), "left")
-    return out.select("source", "source_size", "target", "certain", "pi", "whole", "cut")
+    return out.select("source", "source_size", "target", "n", "certain", "scale", "top", "whole", "cut")
 
 
 def document_sizes(docs: DataFrame, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -87,12 +118,12 @@ def document_sizes(docs: DataFrame, seed: int = 17, keep: tuple[str, ...] = ())
 
 def copies(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """sizes with source_size, target, copies: how often the mix takes each document."""
-    p = plan.select(F.col("source").alias("_s"), "source_size", "target", "certain", "pi", "whole", "cut")
-    bucket = F.floor(F.col("u") * BUCKETS).cast("int")
-    key = F.struct(_odds(F.col("u"), F.col("pi")).alias("q"), "doc_id", "size")
-    drawn = (F.col("pi") > 0) & (F.coalesce(bucket <= F.col("whole"), F.lit(False)) | F.coalesce(key <= F.col("cut"), F.lit(False)))
-    joined = join_hot(sizes, p, "source", "_s", F.col("doc_id"), "plan")
-    return joined.select(*sizes.columns, "source_size", "target", (F.col("certain") + F.coalesce(drawn, F.lit(False)).cast("long")).alias("copies"))
+    p = plan.select(F.col("source").alias("_s"), "source_size", "target", "n", "certain", "scale", "top", "whole", "cut")
+    joined = join_hot(sizes, p, "source", "_s", "n", "plan")
+    q = _rank(F.col("u"), F.col("scale") * F.col("size"))
+    sample = F.when((F.col("size") > 0) & (F.col("size") <= F.col("top")), (_bucket(q) <= F.col("whole")) | F.coalesce(F.struct(q.alias("q"), "doc_id", "size") <= F.col("cut"), F.lit(False)))
+    drawn = F.coalesce(F.col("size") > F.col("top"), F.lit(False)) | F.coalesce(sample, F.lit(False))
+    return joined.select(*sizes.columns, "source_size", "target", (F.col("certain") + drawn.cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 17, **targets) -> DataFrame:

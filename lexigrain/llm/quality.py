@@ -109,13 +109,13 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: tuple
 
     base_failed: under 10 words, or more than a fifth of the words in repeated windows. kept: not base_failed and the
     host is not rejected. A null host has no verdict and rejects nothing. An empty table gives an empty result. keep may
-    name the text: rows then carry it, and only rejected hosts are joined to them.
+    name the text: rows then carry it, and slim verdicts are joined to them.
     """
     cols = tuple(dict.fromkeys((*keep, host)))
     stats = written(document_stats(docs, text, cols), "quality")
-    rejected = host_verdicts(stats, host, reject_above).where("rejected").select(F.col("host").alias("_host"), "rejected")
+    verdicts = host_verdicts(stats, host, reject_above).select(F.col("host").alias("_host"), "rejected", F.col("n_docs").alias("_n"))
     base = F.col("fail_too_short") | F.col("fail_repetitive")
-    joined = join_hot(stats, rejected, host, "_host", F.col(cols[0]), "hosts", "left")
+    joined = join_hot(stats, verdicts, host, "_host", "_n", "hosts", "left")
     return joined.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), (~base & ~F.coalesce("rejected", F.lit(False))).alias("kept"),

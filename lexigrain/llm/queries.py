@@ -136,12 +136,16 @@ l AS (SELECT *, 1.5 * sum(source_size) OVER () AS asked, cap / w <=
         (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS full_up
       FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT source, source_size, CASE WHEN full_up THEN cap ELSE w * (asked - coalesce(sum(cap) FILTER (full_up) OVER (), 0)) / sum(w) FILTER (NOT full_up) OVER () END AS target FROM l),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS certain,
-             CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS pi FROM g),
-q AS (SELECT d.*, source_size, target, certain, pi, target - certain * source_size AS rest,
-             CASE WHEN pi > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS q FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-c AS (SELECT *, pi > 0 AND sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2 <= rest AS picked FROM q)
-SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * (certain + CASE WHEN picked THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
+r AS (SELECT *, target - certain * source_size AS rest FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS certain FROM g)),
+z AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY source, size),
+y AS (SELECT source, size, coalesce(sum(size * n) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS sure, sum(size * size * n) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS squares
+      FROM z WINDOW o AS (PARTITION BY source ORDER BY size DESC)),
+k AS (SELECT r.source, max(size) AS top, arg_max((rest - sure) / squares, size) AS scale, arg_max(sure, size) AS sure FROM y JOIN r ON y.source IS NOT DISTINCT FROM r.source
+      WHERE rest > 0 AND (rest - sure) / squares * size < 1 GROUP BY r.source),
+q AS (SELECT d.*, source_size, target, certain, top, rest - sure AS rest, CASE WHEN size > 0 AND size <= top THEN (u / (1 - u)) / (scale * size / (1 - scale * size)) END AS q
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source),
+c AS (SELECT *, q IS NOT NULL AND sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2 <= rest AS picked FROM q)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * (certain + CASE WHEN picked OR coalesce(size > top, false) THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
 }
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc_archive, op3_ngram_jaccard, op4_line_dedup, op5_byte_bpe, op6_embedding_dedup, op7_language_id, op8_quality_rules, op9_lm_score, op10_mixing)}

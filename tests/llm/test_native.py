@@ -129,3 +129,18 @@ def test_mixing(spark, monkeypatch, most):
         want[r["doc_id"]] += r["copies"]
     assert mixed == +want
     assert mixing.mix(df.where("doc_id < 0")).count() == 0
+
+
+def test_inclusion_frequencies(spark):
+    """400 sources with the same sizes: how often each size is taken is its inclusion probability; the largest is certain."""
+    sizes = [1, 2, 3, 5, 8, 8, 13, 21, 34, 400]
+    rows = [(1000 * s + k, " ".join(["w"] * n), f"s{s:03d}") for s in range(400) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, weights=(1,), share=0.9).collect()
+    rest, below = 0.9 * sum(sizes) - 400, sizes[:-1]
+    want = {n: min(1.0, rest / sum(x * x for x in below) * n) for n in below} | {400: 1.0}
+    assert all(p < 1 for n, p in want.items() if n < 400)
+    for n in set(sizes):
+        share = [r["copies"] for r in got if r["size"] == n]
+        assert abs(sum(share) / len(share) - want[n]) < 0.09
+    assert abs(sum(r["size"] * r["copies"] for r in got) / (400 * 0.9 * sum(sizes)) - 1) < 0.02
