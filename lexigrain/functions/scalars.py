@@ -47,7 +47,10 @@ def comma_number(text: Column) -> Column:
 
 
 def sold_count(text: Column) -> Column:
-    """The number after "Đã bán", times 1000 if k follows; 0 without one."""
+    """The number after "Đã bán", times 1000 if k follows; 0 without one.
+
+    Fixed value: the shop's wording.
+    """
     number = F.regexp_extract(text, "Đã bán ([\\d.,]+)\\s*(k?)", 1)
     times = F.when(F.regexp_extract(text, "Đã bán ([\\d.,]+)\\s*(k?)", 2) == "k", 1000.0).otherwise(1.0)
     return F.coalesce(F.when(F.coalesce(number, F.lit("")) != "", comma_number(number) * times), F.lit(0.0))

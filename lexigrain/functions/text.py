@@ -57,12 +57,18 @@ def word_count(text: Column) -> Column:
 
 
 def mask_phones(text: Column) -> Column:
-    """Phone numbers, whole or partly hidden by x, become a mark; prices, which a point or digit precedes, stay."""
+    """Phone numbers, whole or partly hidden by x, become a mark; prices, which a point or digit precedes, stay.
+
+    Fixed value: the pattern, which sets what counts as a number.
+    """
     return F.regexp_replace(text, f"(?iU)(?<![{WORD}.,])(?:\\+?84|0|x{{2,}})[\\d\\s.\\-x]{{7,12}}\\d", PHONE_MARK)
 
 
 def cleaned(text: Column) -> Column:
-    """Marks, tags, links, addresses and odd characters out; a space after a mark that a letter follows."""
+    """Marks, tags, links, addresses and odd characters out; a space after a mark that a letter follows.
+
+    Fixed values: the patterns and their order, which set the cleaned text.
+    """
     t = F.replace(F.coalesce(text, F.lit("")), F.lit(PHONE_MARK), F.lit(" "))
     t = F.regexp_replace(t, "<[^>]+>", " ")
     t = F.regexp_replace(t, "(?U)https?://\\S+|www\\.\\S+", " ")

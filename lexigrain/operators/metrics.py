@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from .sampling import bootstrap_slots
 
 #: Rows up to which resampled predictions are broadcast.
 BROADCAST_ROWS = 100_000
+#: Rows up to which each resample draws row numbers; beyond them it draws the counts of equal rows at once.
+INDEX_ROWS = 1_000_000
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -50,6 +53,25 @@ def scores(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> Data
     return r.groupBy(*by).agg(F.first("rows").alias("n"), F.round(_ratio(F.sum("tp"), F.first("rows")), 4).alias("accuracy"), *macro)
 
 
+def second_rater_scores(df: DataFrame, rater: DataFrame, row: str, truth: str, model: str, pred: str, label: str, gold: str = "gold") -> DataFrame:
+    """model, n, accuracy, macro_f1 of df(row, truth, model, pred) against rater(row, label) where that has a label.
+
+    A row named by `gold` compares the truth itself with the rater.
+    """
+    given = rater.where(F.col(label).isNotNull()).select(F.col(row).alias("_row"), F.col(label).alias("_label"))
+    both = df.join(given, F.col(row) == F.col("_row")).select("_row", "_label", F.col(truth).alias("_truth"), F.col(model).alias("model"), F.col(pred).alias("_pred"))
+    truths = both.dropDuplicates(["_row"]).select("_label", F.lit(gold).alias("model"), F.col("_truth").alias("_pred"))
+    every = both.select("_label", "model", "_pred").unionByName(truths)
+    return scores(every, "_label", "_pred", ("model",)).select("model", "n", "accuracy", "macro_f1")
+
+
+def beside(val: DataFrame, test: DataFrame, truth: str, pred: str, model: str) -> DataFrame:
+    """model, val_macro_f1, test_macro_f1, test_accuracy: what models reach on two sets; null where one lacks a model."""
+    v = scores(val, truth, pred, (model,)).select(F.col(model), F.col("macro_f1").alias("val_macro_f1"))
+    t = scores(test, truth, pred, (model,)).select(F.col(model), F.col("macro_f1").alias("test_macro_f1"), F.col("accuracy").alias("test_accuracy"))
+    return v.join(t, model, "full")
+
+
 def confusion_rates(df: DataFrame, truth: str, pred: str, labels: Sequence[str] = LABELS) -> DataFrame:
     """t, p, n, rate of each pair of labels; rate is of the row, 0 for an empty row."""
     spark = df.sparkSession
@@ -64,13 +86,41 @@ def bootstrap_f1(df: DataFrame, row: str, truth: str, preds: Sequence[str], n: i
     """model, ci95_low, ci95_high: percentiles of macro-F1 over paired resamples of rows numbered 0 .. n - 1.
 
     The draws join the predictions once; each resample is summed to a few counts for each model before it is scored.
+    Rows with the same truth and predictions are alike, so beyond INDEX_ROWS rows a resample is drawn as the counts of
+    these kinds of rows (multinomial, as drawing row numbers makes them), which costs the same at any n.
     """
+    if n > INDEX_ROWS:
+        kinds = df.groupBy(F.col(truth).alias("_t"), *preds).agg(F.count(F.lit(1)).alias("n"))
+        return _percentiles(resampled_counts(kinds, resamples, seed), preds)
     draws = bootstrap_slots(df.sparkSession, n, resamples, seed)
     known = df.select(F.col(row).alias("_row"), F.col(truth).alias("_t"), *preds)
     # Spark takes the draws for few rows and would broadcast them
     known = F.broadcast(known) if n <= BROADCAST_ROWS else known.hint("shuffle_hash")
     drawn = draws.join(known, F.col("row") == F.col("_row"))
-    counts = drawn.groupBy("b", "_t", *preds).agg(F.count(F.lit(1)).alias("n"))
+    return _percentiles(drawn.groupBy("b", "_t", *preds).agg(F.count(F.lit(1)).alias("n")), preds)
+
+
+def resampled_counts(kinds: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """b and the columns of kinds, whose n becomes the count that resample b draws: a row for each b and kind drawn.
+
+    The driver gets kinds, a row for each combination of labels.
+    """
+    rows = kinds.toPandas()
+    share = rows["n"].to_numpy() / max(int(rows["n"].sum()), 1)
+    total = int(rows["n"].sum())
+
+    def draw(batches):
+        for batch in batches:
+            for b in batch["b"]:
+                drawn = rows.assign(b=b, n=np.random.default_rng([seed, int(b)]).multinomial(total, share))
+                yield drawn[drawn["n"] > 0][["b", *rows.columns]]
+
+    schema = "b long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.schema)
+    return kinds.sparkSession.range(resamples).withColumnRenamed("id", "b").mapInPandas(draw, schema)
+
+
+def _percentiles(counts: DataFrame, preds: Sequence[str]) -> DataFrame:
+    """model, ci95_low, ci95_high from counts(b, _t, preds, n)."""
     stack = F.explode(F.array(*[F.struct(F.lit(p).alias("model"), F.col(p).alias("p")) for p in preds]))
     long = counts.select("b", F.col("_t").alias("t"), "n", stack.alias("m")).select("b", "m.model", "t", "m.p", "n")
     f1 = class_report(long, ("b", "model")).groupBy("b", "model").agg(F.avg("f1").alias("f1"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -150,7 +150,7 @@ def _gold(spark, sf_dir):
 
 
 ADJUDICATED = """
-WITH g AS (SELECT row_id AS gold_id, label_star AS label_llm, label AS truth, star FROM reviews WHERE row_id % 3 = 0),
+WITH g AS (SELECT row_id AS gold_id, label_star AS label_llm, label AS truth, star FROM reviews ),
 f AS (SELECT *, CASE WHEN star = 3 OR gold_id % 7 = 0 THEN 'low' ELSE 'high' END AS confidence FROM g),
 h AS (SELECT gold_id AS id, truth AS label_human, gold_id % 2 = 0 AS person FROM f WHERE confidence = 'low' AND truth IS NOT NULL),
 s AS (SELECT gold_id AS id, truth AS label_human_2 FROM f WHERE gold_id % 5 = 0 AND truth IS NOT NULL),
@@ -279,7 +279,10 @@ def _counts(spark, sf_dir):
 
 
 def _weights(spark, sf_dir):
-    return features.tfidf_features(labelled(spark, sf_dir), "row_id", "text", 1, 2, min_df=5)
+    """The weights as a table: texts are split once, whatever reads them."""
+    counts = written(_counts(spark, sf_dir), "counts")
+    n = labelled(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    return written(features.tfidf(counts, features.idf_table(counts, n)), "weights")
 
 
 @query(GRAMS + "\nSELECT doc, term, tf FROM k")
@@ -480,7 +483,7 @@ def cohen_kappa(spark, sf_dir):
 
 @query(LABELLED + f""",
 i AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS r, label, label_star, label_other FROM x), n AS (SELECT count(*) AS n FROM i),
-d AS (SELECT b, ('0x' || substr(md5('42|' || b || '|' || slot), 1, 8))::BIGINT % n AS r FROM n, range(200) AS bb(b), range((SELECT n FROM n)) AS ss(slot)),
+d AS (SELECT b, ('0x' || substr(md5('42|' || b || '|' || slot), 1, 8))::BIGINT % n AS r FROM n, range(2000) AS bb(b), range((SELECT n FROM n)) AS ss(slot)),
 f AS (SELECT b, model, l.label, coalesce(2.0::DOUBLE * count(*) FILTER (t = l.label AND p = l.label) / nullif(count(*) FILTER (t = l.label) + count(*) FILTER (p = l.label), 0), 0) AS f1
       FROM (SELECT b, 'label_star' AS model, label AS t, label_star AS p FROM d JOIN i USING (r) UNION ALL SELECT b, 'label_other', label, label_other FROM d JOIN i USING (r)),
            (SELECT names.label FROM {LABELS3}) l GROUP BY b, model, l.label),
@@ -509,7 +512,7 @@ def wide_predictions(spark, sf_dir):
     return metrics.wide_predictions(_predictions(spark, sf_dir), "row_id", "label", "model", "pred", ["label_star", "label_other"], ["first", "second"])
 
 
-@query("SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std FROM orders WHERE o_orderkey % 3 = 0 GROUP BY o_orderpriority", base=False)
+@query("SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std FROM orders GROUP BY o_orderpriority", base=False)
 def seed_summary(spark, sf_dir):
     return metrics.seed_summary(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
 
@@ -592,17 +595,20 @@ def orders_by_nation(spark, sf_dir):
 
 @query()
 def svm_predict(spark, sf_dir):
+    """Fitted on strat_split's train rows; predictions for all rows, with the split."""
     df = labelled(spark, sf_dir).select(F.col("row_id").alias("doc"), "label", "text")
-    w = features.tfidf_features(df, "doc", "text", 1, 1, min_df=5)
-    rows = models.sparse_vectors(w, models.numbered_terms(w), df.select("doc", "label")).persist()
-    return models.fit_svm(rows, "label", max_iter=20).predict(rows).select("doc", "label", "pred")
+    w = written(features.tfidf_features(df, "doc", "text", 1, 1, min_df=5), "weights")
+    split = sampling.stratified_split(df.select("doc", "label"), "label", "doc")
+    rows = written(models.sparse_vectors(w, models.numbered_terms(w), split), "vectors")
+    return models.fit_svm(rows.where("split = 'train'"), "label").predict(rows).select("doc", "label", "split", "pred")
 
 
 @query()
 def rff_svm_predict(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("label"), "embedding")
-    rows = models.fourier_features(df, "embedding", DIMS, 128).persist()
-    return models.fit_svm(rows, "label", c=10.0, max_iter=20).predict(rows).select("vec_id", "label", "pred")
+    split = sampling.stratified_split(df, "label", "vec_id")
+    rows = written(models.fourier_features(split, "embedding", DIMS), "vectors")
+    return models.fit_svm(rows.where("split = 'train'"), "label", c=10.0).predict(rows).select("vec_id", "label", "split", "pred")
 
 
 @query()
@@ -641,15 +647,16 @@ def nb_grid(spark, sf_dir):
 def stream_ingest(spark, sf_dir):
     """The events as a stream of files, each event once, written exactly once and read again."""
     schema = table(spark, sf_dir, "events").schema
-    out, state = f"{shared_dir(spark)}/lexigrain-stream/{spark.sparkContext.applicationId}", tempfile.mktemp(prefix="stream-", dir="")
+    out, state = f"{shared_dir(spark)}/lexigrain-stream/{spark.sparkContext.applicationId}", f"stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    query_ = ingest.append_to(ingest.once_each(stream, "event_id", None).select("event_id", "user_id", "event_type"), f"{out}/{state}/rows", f"{out}/{state}/state")
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    query_ = ingest.append_to(ingest.once_each(stream, "event_id", "ts").select("event_id", "user_id", "event_type"), f"{out}/{state}/rows", f"{out}/{state}/state")
     query_.awaitTermination()
     return spark.read.parquet(f"{out}/{state}/rows")
 
 
 @query("""
-SELECT a.row_id, a.product_id, b.label_star FROM reviews a JOIN reviews b ON a.row_id = b.row_id WHERE a.row_id % 2 = 0""")
+SELECT a.row_id, a.product_id, b.label_star FROM reviews a JOIN reviews b ON a.row_id = b.row_id""")
 def validated_join(spark, sf_dir):
     df = load_reviews(spark, sf_dir)
     return joins.one_to_one(df.select("row_id", "product_id"), df.select("row_id", "label_star"), "row_id")
@@ -669,8 +676,8 @@ def split_shares(spark, sf_dir):
     return counts.withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy("split")), 1))
 
 
-@query("""
-WITH a AS (SELECT DISTINCT product_id FROM reviews WHERE row_id % 19 = 3), b AS (SELECT DISTINCT product_id FROM reviews WHERE row_id % 23 = 5)
+@query(f"""
+WITH s AS ({SQL["strat_split"]}), a AS (SELECT DISTINCT product_id FROM reviews JOIN s USING (row_id) WHERE split = 'train'), b AS (SELECT DISTINCT product_id FROM reviews JOIN s USING (row_id) WHERE split = 'val')
 SELECT (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS both, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS only_a, (SELECT count(*) FROM (FROM b EXCEPT FROM a)) AS only_b""")
 def key_overlap(spark, sf_dir):
     """Products of both sides of the split that strat_split makes, and of one alone."""

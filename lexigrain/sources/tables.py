@@ -61,7 +61,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
     """CSV with a header; bom puts a mark before each file's first column name, for spreadsheets."""
     out = df.withColumnRenamed(df.columns[0], BOM + df.columns[0]) if bom else df
-    out.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    out.write.mode("overwrite").options(header=True, escape='"', emptyValue="", **keep).csv(path)
 
 
 def write_batches(df: DataFrame, path: str, batch: str = "batch") -> None:

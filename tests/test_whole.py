@@ -80,6 +80,25 @@ def test_bootstrap_never_broadcasts_the_draws(spark, monkeypatch):
     assert small.collect() == large.collect()
 
 
+def test_bootstrap_of_many_rows_draws_counts(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id AS r", "element_at(array('Negative', 'Neutral', 'Positive'), cast(id % 3 + 1 AS int)) AS label", "IF(id % 4 = 0, 'Neutral', element_at(array('Negative', 'Neutral', 'Positive'), cast(id % 3 + 1 AS int))) AS p")
+    by_row = metrics.bootstrap_f1(df, "r", "label", ["p"], 3000, 400).first()
+    monkeypatch.setattr(metrics, "INDEX_ROWS", 10)
+    by_kind = metrics.bootstrap_f1(df, "r", "label", ["p"], 3000, 400).first()
+    assert by_kind == metrics.bootstrap_f1(df, "r", "label", ["p"], 3000, 400).first()
+    assert by_row["model"] == by_kind["model"] and abs(by_row["ci95_low"] - by_kind["ci95_low"]) < 0.006 and abs(by_row["ci95_high"] - by_kind["ci95_high"]) < 0.006
+
+
+def test_split_numbers_only_the_rows_at_the_boundary(spark):
+    from lexigrain.operators import sampling
+
+    df = spark.range(5000).selectExpr("id AS k", "CASE WHEN id % 10 = 0 THEN NULL WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS s")
+    split = sampling.stratified_split(df, "s", "k")
+    assert split.where("split = 'val'").count() == 750 and split.count() == 5000
+    counts = {r["s"]: r["n"] for r in split.where("split = 'val'").groupBy("s").agg({"*": "count"}).toDF("s", "n").collect()}
+    assert counts == {None: 75, "a": 225, "b": 450}
+
+
 def test_word_vectors_have_the_operators_size_and_epochs(spark, monkeypatch):
     used, f = {}, queries.models.word_vectors
 
