@@ -6,16 +6,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import BROADCAST_ROWS, discard, join_hot, written
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over distinct edges (u, v) with u > v."""
+def _stars(edges: DataFrame, few: bool) -> DataFrame:
+    """One large-star and one small-star step over distinct edges (u, v) with u > v; few: all fit a broadcast."""
+
+    def joined(rows: DataFrame, low: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(low), F.col("u") == F.col("k")) if few else join_hot(rows, low, "u", "k", "n", "low")
+
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
-    moved = large.join(least, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    large = joined(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = joined(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
 
 
@@ -32,12 +36,31 @@ def components(links: DataFrame) -> DataFrame:
         if mark == before or not mark[0]:
             break
         done, before = edges, mark
-        edges = written(_stars(edges), "links")
+        edges = written(_stars(edges, 2 * mark[0] <= BROADCAST_ROWS), "links")  # a row for each end at most
         discard(done)
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def same_id_links(rows: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """a, b: links between the classes (key, cid) of rows(id, key) that share an id; None if no id has two keys."""
+    by_id = rows.groupBy(F.col("id").alias("i")).agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n"))
+    several = written(by_id.where("low <> high").select("i", "n"), "several")
+    if several.isEmpty():
+        return None
+    of = join_hot(rows, several, "id", "i", "n", "several").select("id", "key").distinct()
+    of = written(of.join(classes.select(F.col("key").alias("k"), "cid"), F.col("key") == F.col("k")).select("id", "cid"), "of")
+    first = of.groupBy(F.col("id").alias("i")).agg(F.min("cid").alias("m"), F.count(F.lit(1)).alias("n"))
+    return join_hot(of, first, "id", "i", "n", "first").select(F.col("cid").alias("a"), F.col("m").alias("b"))
+
+
+def least_ids(comps: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, least: the smallest first_id of the classes (cid, first_id) in the component of each node of comps."""
+    of = comps.join(classes.select("cid", "first_id"), F.col("node") == F.col("cid")).select("node", "component", "first_id")
+    low = of.groupBy(F.col("component").alias("c")).agg(F.min("first_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    return join_hot(of, low, "component", "c", "n", "least").select("node", "least")
+
+
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each of n local nodes the smallest node that the links i-j connect it with."""
     root = np.arange(n)
