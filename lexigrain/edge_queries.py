@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as sc
 from .functions import text as tx
-from .operators import aggregates, cleaning, joins, labels, metrics, ranking, sampling
-from .queries import CLEAN, LABELLED, LABELS3, TOKENS, VECTORS, SQL, labelled, near_dup_greedy, query, _predictions
+from .operators import aggregates, cleaning, features, joins, labels, metrics, ranking, sampling
+from .plans import models
+from .queries import CLEAN, LABELLED, LABELS3, SQL, STOP, TOKENS, _predictions, _weights, labelled, query
 from .sources import html as web
 from .sources import tables
 from .sources.reviews import load_reviews, table
-from .storage import scratch
+from .storage import scratch, written
 
 #: The greedy scan over near pairs in plain SQL: rows in order, each against those that are kept.
 SQL["near_dup_greedy"] = SQL["near_dup_pairs"].split("\nSELECT i, j")[0].replace("WITH ", "WITH RECURSIVE ", 1) + """,
@@ -209,3 +210,62 @@ def validation_beside_test(spark, sf_dir):
     split = sampling.stratified_split(load_reviews(spark, sf_dir).select("row_id", "label_star"), "label_star", "row_id").select("row_id", "split")
     p = _predictions(spark, sf_dir).join(split, "row_id")
     return metrics.beside(p.where("split = 'val'"), p.where("split = 'train'"), "label", "pred", "model")
+
+
+SQL["saved_model_predict"] = SQL["nb_multinomial_predict"]
+
+
+@query()
+def saved_model_predict(spark, sf_dir):
+    """Naive Bayes saved, found again, loaded and used."""
+    w, y, folder = _weights(spark, sf_dir), labelled(spark, sf_dir).select(F.col("row_id").alias("doc"), "label"), scratch(spark, "models")
+    models.save_naive_bayes(models.fit_multinomial(w, y, alpha=0.5), f"{folder}/words")
+    (name,) = models.saved_models(spark, folder)
+    return models.predict_multinomial(models.load_naive_bayes(spark, f"{folder}/{name}"), w, y).select("doc", "pred")
+
+
+@query()
+def stopword_ablation(spark, sf_dir):
+    """The best naive Bayes setting with stop words and without them, on the same validation rows; for the report only."""
+    df = labelled(spark, sf_dir).select(F.col("row_id").alias("doc"), "label", "text")
+    df = df.withColumn("kept", tx.content_words(F.col("text"))).withColumn("removed", tx.content_words(F.col("text"), STOP))
+    df = written(sampling.stratified_split(df, "label", "doc"), "ablation")
+    train, val, rows = df.where("split = 'train'"), df.where("split = 'val'"), []
+    for name in ("kept", "removed"):
+        terms = written(features.term_counts(train, "doc", name, 1, 1, min_df=2).select("term").distinct(), "terms")
+        weights = lambda part: features.term_counts(part, "doc", name).join(terms, "term", "left_semi").withColumnRenamed("tf", "w")  # noqa: B023, E731
+        best = models.choose(models.nb_candidates(train, val, weights))[0]
+        rows.append((name, str(best["params"]), best["macro_f1"], best["accuracy"]))
+    return spark.createDataFrame(rows, "stop_words string, params string, macro_f1 double, accuracy double")
+
+
+@query("SELECT row_id, category, star FROM reviews WHERE category = 'fr' AND star = 2")
+def parameter_lookup(spark, sf_dir):
+    return joins.looked_up(load_reviews(spark, sf_dir), category="fr", star=2).select("row_id", "category", "star")
+
+
+@query("SELECT row_id FROM reviews WHERE label IS NOT NULL ORDER BY row_id LIMIT 100")
+def double_label_rows(spark, sf_dir):
+    return ranking.first_rows(labelled(spark, sf_dir).select("row_id"), "row_id")
+
+
+@query("SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM pages GROUP BY url HAVING max(length(html)) > 4000)", base=False)
+def listed_pages(spark, sf_dir):
+    """Pages whose address is among those that some long page has."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return joins.members(pages.select("page_id", "url"), pages.where(F.length("html") > 4000), "url")
+
+
+@query("SELECT row_id, label_star AS model, '' AS grp FROM reviews WHERE label <> label_star")
+def errors_without_groups(spark, sf_dir):
+    """Errors joined with an optional file of groups that isn't there."""
+    groups = tables.read_csv_if_there(spark, scratch(spark, "groups") + ".csv", ["gid", "grp"])
+    wrong = labelled(spark, sf_dir).where("label <> label_star").select("row_id", F.col("label_star").alias("model"))
+    return wrong.join(groups, F.col("row_id") == F.col("gid").try_cast("long"), "left").select("row_id", "model", F.coalesce("grp", F.lit("")).alias("grp"))
+
+
+@query("SELECT star, count(*) AS n, 1::BIGINT AS times FROM reviews GROUP BY star")
+def ingest_times(spark, sf_dir):
+    """Rows by star with the time of ingestion: one time for all rows of a run."""
+    stamped = tables.ingested(load_reviews(spark, sf_dir).select("star"))
+    return stamped.groupBy("star").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ingested_at").alias("times"))

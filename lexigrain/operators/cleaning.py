@@ -85,13 +85,18 @@ def tfidf_vectors(df: DataFrame, doc: str, tokens: Column, sublinear: bool = Fal
     return raw.select("doc", "term", "df", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc")))).alias("w"))
 
 
+#: Rows of a term up to which one task joins them.
+PREFIX_ROWS = 2_000
+
+
 def near_pairs(vectors: DataFrame, above: float = 0.9) -> DataFrame:
     """i, j, cosine of each pair i < j of unit vectors (doc, term, df, w) with a cosine above the bound.
 
     Exact, by prefixes: terms from rare to frequent, a vector's prefix ends where the norm of the rest is under the bound,
     so a pair above it shares a term of both prefixes. Only these rare terms are joined. A candidate's products so far and
     the norms of what may follow its last shared term (in the vector whose prefix ends first: of what follows the prefix)
-    bound its cosine; whole vectors are joined for the few pairs that the bound leaves.
+    bound its cosine; whole vectors are joined for the few pairs that the bound leaves. A term of very many prefixes is
+    dealt to parts, each with one part of its rows against all.
     """
     order = Window.partitionBy("doc").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
     square = F.col("w") * F.col("w")
@@ -100,8 +105,16 @@ def near_pairs(vectors: DataFrame, above: float = 0.9) -> DataFrame:
     prefix = prefix.select(
         "doc", "term", "df", "w", (F.col("rest") - square).alias("after"), F.max(F.struct("df", "term")).over(whole).alias("cut"), F.min(F.col("rest") - square).over(whole).alias("tail")
     ).where("df > 1").drop("df")
-    left, right = (prefix.select("term", *[F.col(c).alias(c + n) for c in ("doc", "w", "after", "cut", "tail")]) for n in "ij")
-    met = left.join(right.withColumnRenamed("term", "term2"), (F.col("term") == F.col("term2")) & (F.col("doci") < F.col("docj")))
+    prefix = written(prefix, "prefixes")
+    sizes = written(prefix.groupBy(F.col("term").alias("_t")).agg(F.count(F.lit(1)).alias("_n")), "terms")
+    # at most 100,000 terms can hold more than one in 100,000 of the rows
+    most = max(PREFIX_ROWS, sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0] // 100_000)
+    hot = F.broadcast(sizes.where(F.col("_n") > most).select("_t", F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
+    dealt = prefix.join(hot, F.col("term") == F.col("_t"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    left, right = (dealt.select("term", "_parts", *[F.col(c).alias(c + n) for c in ("doc", "w", "after", "cut", "tail")]) for n in "ij")
+    left = left.withColumn("part", F.pmod(F.xxhash64("doci"), F.col("_parts")).cast("int")).drop("_parts")
+    right = right.withColumn("part2", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").withColumnRenamed("term", "term2")
+    met = left.join(right, (F.col("term") == F.col("term2")) & (F.col("part") == F.col("part2")) & (F.col("doci") < F.col("docj")))
     first = [F.first(c).alias(c) for c in ("cuti", "cutj", "taili", "tailj")]
     near = met.groupBy("doci", "docj").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"), F.min("afteri").alias("ai"), F.min("afterj").alias("aj"), *first)
     follow = F.when(F.col("cuti") <= F.col("cutj"), F.col("taili") * F.col("aj")).otherwise(F.col("ai") * F.col("tailj"))

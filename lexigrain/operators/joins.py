@@ -30,6 +30,18 @@ def without(df: DataFrame, used: DataFrame, key: str) -> DataFrame:
     return df.join(used.select(key).distinct(), key, "left_anti")
 
 
+def members(df: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among the allowed ones; a null key isn't."""
+    return df.join(allowed.select(key).distinct(), key, "left_semi")
+
+
+def looked_up(df: DataFrame, **values) -> DataFrame:
+    """Rows with the given values, which reach the plan as literals; None asks for null."""
+    for name, value in values.items():
+        df = df.where(F.col(name).eqNullSafe(F.lit(value)))
+    return df
+
+
 def tagged_union(parts: dict[str, DataFrame], tag: str = "split") -> DataFrame:
     """All rows of all parts, with the part's name."""
     out = None

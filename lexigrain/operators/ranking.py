@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
+
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     """df with a number from 1 in the given order (ascending, nulls first), without one task that sorts all rows.
 
@@ -69,6 +70,11 @@ def best_rows(df: DataFrame, by: list[str], score: str, order: str) -> DataFrame
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def first_rows(df: DataFrame, order: str, k: int = 100) -> DataFrame:
+    """The k first rows in order: what a second rater labels too."""
+    return df.orderBy(order).limit(k)
+
+
 def top_per_group(df: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.desc(score), tie)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

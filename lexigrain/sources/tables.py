@@ -33,6 +33,18 @@ def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str],
     return df.select(*[F.col(c).try_cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in columns])
 
 
+def read_csv_if_there(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """read_csv, or no rows where the file is optional and missing."""
+    if path_exists(spark, path):
+        return read_csv(spark, path, columns)
+    return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+
+
+def ingested(df: DataFrame, column: str = "ingested_at") -> DataFrame:
+    """df with the time of the run, one for all rows."""
+    return df.withColumn(column, F.current_timestamp())
+
+
 def read_csv_set(spark: SparkSession, glob: str, columns: Sequence[str]) -> DataFrame:
     """All files of a pattern, with the name of the file."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lexigrain import queries
+from lexigrain import edge_queries, queries  # noqa: F401 - registers more queries
 from lexigrain.operators import metrics
 from tests.test_queries import SF, normal
 
@@ -119,3 +119,8 @@ def test_naive_bayes_grid_has_all_settings(spark):
     assert len(found) == len({(n, str(p)) for n, p, _ in found}) == 64 and {p["alpha"] for _, p, _ in found} == {0.1, 0.3, 0.5, 1.0}
     for k in (0, 24, 40, 63):
         assert found[k][2]().where("pred = label").count() >= 4
+
+
+def test_ablation_compares_both_texts(spark):
+    rows = {r["stop_words"]: r for r in queries.QUERIES["stopword_ablation"](spark, SF).collect()}
+    assert set(rows) == {"kept", "removed"} and all(0 <= r["macro_f1"] <= 1 and r["params"] for r in rows.values())
