@@ -139,9 +139,12 @@ def decode(model: Model, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return loss.argmin(1), top[:, -1], top[:, -1] - top[:, -2]
 
 
-def fit(docs: DataFrame, train: Column) -> Model:
+def fit(docs: DataFrame, train: Column, most_languages: int = 256) -> Model:
     """Learns from text and lang of the rows where train holds and lang is not null: sums over all of them.
 
+    More than most_languages different values of lang are an error: the column isn't what it should be, and the table of
+    counts that the driver gets would have no bound.
+
     Each task returns its non-zero counts, Spark adds them by language and bucket, and the driver gets one row for each
     pair, a number that languages and buckets bound.
     """
@@ -162,6 +165,8 @@ def fit(docs: DataFrame, train: Column) -> Model:
 
     small_batches(docs.sparkSession)
     rows = docs.where(train & F.col("lang").isNotNull()).select(F.col("lang").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
+    if rows.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
+        raise ValueError(f"lang has more than {most_languages} different values")
     summed = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = summed.toPandas()
     languages = sorted(found["lang"].unique())
