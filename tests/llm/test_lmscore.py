@@ -63,5 +63,31 @@ def test_scores(spark, most):
     assert len(by_words[51]) == 1 and all(r["score"] < 0 for r in got)
 
 
+def test_score_is_the_sum_of_words_by_learned_pieces(spark):
+    """From the vocabulary's segmentation of the training words to the sum over all segmentations, in plain Python."""
+    rows = list(enumerate(["the cat sat", "The dog É", "", None, "naïve cats", "the 日本 q", "sat sat sat dog", "zq"] * 3))
+    got = {r["doc_id"]: r["score"] for r in lmscore.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH).collect()}
+    v, pieces = lmscore.vocabulary(PATH), Counter()
+    for k, t in rows:
+        if zlib.crc32(str(k).encode()) % 10:
+            for w in (t or "").encode().lower().split():
+                pieces.update(v.model.encode(w.decode()))
+            pieces[v.end] += 1
+    total = sum(pieces.values()) + 0.1 * (v.size + 1)
+    logp = np.asarray([math.log((pieces[i] + 0.1) / total) for i in range(v.size)])
+    for k, t in rows:
+        want = logp[v.end] + sum(all_ways(v, logp, w.decode()) for w in (t or "").encode().lower().split())
+        assert got[k] == pytest.approx(want / math.log(10), rel=1e-9)
+
+
+def test_long_words_and_long_texts(spark):
+    """A word of 100,000 characters and a text of 300,000 words, whole: scores are finite and grow with the text."""
+    rows = [(1, "the cat sat"), (2, "a" * 100_000), (3, "the cat " * 150_000), (4, "the cat")]
+    got = {r["doc_id"]: r for r in lmscore.score(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()}
+    assert got[3]["n_tokens"] == 300_001 and got[2]["n_tokens"] == 2 and all(np.isfinite(r["score"]) and r["score"] < 0 for r in got.values())
+    end = got[4]["score"] - (got[3]["score"] - got[4]["score"]) / 149_999
+    assert got[3]["score"] == pytest.approx(150_000 * (got[4]["score"] - end) + end, rel=1e-6)
+
+
 def test_nothing(spark):
     assert lmscore.score(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
