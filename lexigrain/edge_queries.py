@@ -8,7 +8,7 @@ from .functions import scalars as sc
 from .functions import text as tx
 from .operators import aggregates, cleaning, features, joins, labels, metrics, ranking, sampling
 from .plans import models
-from .queries import CLEAN, LABELLED, LABELS3, SQL, STOP, TOKENS, _predictions, _weights, labelled, query
+from .queries import BASE, CLEAN, LABELLED, LABELS3, SQL, STOP, TOKENS, _predictions, _weights, labelled, query
 from .sources import html as web
 from .sources import tables
 from .sources.reviews import load_reviews, table
@@ -24,6 +24,16 @@ scan AS (
 removed AS (SELECT unnest(gone) AS g FROM (SELECT gone FROM scan ORDER BY k DESC LIMIT 1))
 SELECT j, min(i) AS i, round(arg_min(c, i), 3) AS cosine FROM p WHERE j IN (SELECT g FROM removed) AND i NOT IN (SELECT g FROM removed) GROUP BY j"""
 
+#: The gold sample's scan in plain SQL: rows in hash order, each taken if its star's and its product's room allows.
+SQL["gold_sample"] = f"""WITH RECURSIVE {BASE},
+q AS (SELECT row_id, star, product_id, row_number() OVER (ORDER BY sha1('42|' || row_id), row_id) AS k FROM reviews),
+scan AS (
+  SELECT 0::BIGINT AS k, [20, 14, 30, 16, 20] AS room, []::VARCHAR[] AS used, NULL::BIGINT AS row_id, 0 AS star, NULL::VARCHAR AS product_id, false AS take
+  UNION ALL
+  SELECT k, CASE WHEN take THEN [CASE WHEN star = i THEN room[i] - 1 ELSE room[i] END FOR i IN range(1, 6)] ELSE room END, CASE WHEN take THEN list_append(used, product_id) ELSE used END, row_id, star, product_id, take
+  FROM (SELECT q.k, room, used, q.row_id, q.star, q.product_id, room[q.star] > 0 AND len([x FOR x IN used IF x = q.product_id]) < 15 AS take FROM scan JOIN q ON q.k = scan.k + 1))
+SELECT format('G{{:03d}}', row_number() OVER (ORDER BY sha1('43|' || row_id), row_id)) AS gold_id, row_id, star, product_id FROM scan WHERE take"""
+
 
 @query("SELECT row_id, star, label, text FROM reviews")
 def jsonl_append(spark, sf_dir):
