@@ -44,7 +44,7 @@ def test_document_statistics(spark):
         assert r["base_failed"] == (len(w) < 10 or 100 * repeats(w) > 20 * len(w))
 
 
-@pytest.mark.parametrize("most", [100_000, 0])
+@pytest.mark.parametrize("most", [20_000, 0])
 def test_host_verdicts(spark, monkeypatch, most):
     monkeypatch.setattr(common, "BROADCAST_ROWS", most)
     good = " ".join(f"w{k}" for k in range(30))
@@ -74,7 +74,9 @@ def line_rule(rows):
     return sorted(map(str, out))
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("hot", [10_000, 5])
+def test_line_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(linededup, "HOT_LINES", hot)
     rng = random.Random(4)
     pool = ["Shared line number one of all", "  shared LINE number one of all\t", "ÉÈ a line with accents in it", "éÈ a line with accents in it", "short", "", "x" * 19, "y" * 20]
     rows = [(k, "\n".join(rng.choice(pool) if rng.random() < 0.5 else f"line {rng.random()} of its own kind" for _ in range(rng.choice([0, 1, 3, 70, 200])))) for k in range(40)]
@@ -85,6 +87,21 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(df.where("doc_id < 0")).count() == 0
 
 
+def test_lines_are_exchanged_once_and_streamed(spark):
+    """The pass over the sorted runs needs no exchange and no sort beyond those that made them."""
+    lines = linededup.hashed_lines(spark.createDataFrame([(1, "x" * 30)], "doc_id long, text string"), 20)
+    plan = linededup.streamed(linededup.sorted_runs(lines, 4), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+
+
+def test_keep_bitmaps_are_run_length_coded(spark):
+    rows = [([0, 1, 2], [0, 3]), ([5], [5, 6]), ([0, 2, 3, 9], [0, 1, 2, 4, 9, 10])]
+    for dropped, want in rows:
+        df = spark.createDataFrame([(dropped, "\n".join(f"l{k}" for k in range(10)))], "dropped array<int>, text string")
+        got = df.select(linededup.run_ends(F.col("dropped")).alias("keep"), "text").select("keep", linededup.kept_lines(F.col("text"), F.col("keep")).alias("kept")).first()
+        assert got["keep"] == want and got["kept"] == "\n".join(f"l{k}" for k in range(10) if k not in dropped)
+
+
 def targets(sizes, weights=(3, 1, 2)):
     """Targets by sharing the excess again and again."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
@@ -102,7 +119,7 @@ def targets(sizes, weights=(3, 1, 2)):
     return out
 
 
-@pytest.mark.parametrize("most", [100_000, 0])
+@pytest.mark.parametrize("most", [20_000, 0])
 def test_mixing(spark, monkeypatch, most):
     monkeypatch.setattr(common, "BROADCAST_ROWS", most)
     rng = random.Random(5)
