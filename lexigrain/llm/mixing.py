@@ -26,14 +26,14 @@ def uniform(seed: int, *cols: str) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """source, source_size, target: one row for each source, null included.
+    """source, source_size, n (documents), target: one row for each source, null included.
 
     Sources by code point, null last, take the weights in turn and share `share` of all sizes; no target is above
     `most` times its source's size, and what is above goes to the others by weight. Water level: sources in the order
     of limit over weight are full as long as their limit is under the level of those that follow. Windows without a
     partition run over the sources' rows only.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     nth = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
     weighted = totals.withColumn("w", F.get(F.array(*[F.lit(float(w)) for w in weights]), nth % len(weights))).withColumn("cap", F.col("source_size") * most)
     every = Window.partitionBy()
@@ -41,10 +41,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     asked = F.sum("source_size").over(every) * share
     level = (asked - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    full = weighted.select("source", "source_size", "w", "cap", asked.alias("asked"), (F.col("cap") / F.col("w") <= level).alias("full"))
+    full = weighted.select("source", "source_size", "n", "w", "cap", asked.alias("asked"), (F.col("cap") / F.col("w") <= level).alias("full"))
     open_w = F.sum(F.when(~F.col("full"), F.col("w"))).over(every)
     rest = F.col("asked") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(every), F.lit(0.0))
-    return full.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * F.try_divide(rest, open_w)).cast("double").alias("target"))
+    return full.select("source", "source_size", "n", F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * F.try_divide(rest, open_w)).cast("double").alias("target"))
 
 
 def inclusion(sizes: DataFrame, goals: DataFrame) -> DataFrame:
@@ -57,11 +57,10 @@ def inclusion(sizes: DataFrame, goals: DataFrame) -> DataFrame:
     """
     exact = F.col("size").cast("decimal(19,0)")
     by_size = sizes.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"), F.sum(exact).alias("words"))
-    order = Window.partitionBy("source").orderBy(F.desc("size"))
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    sums = by_size.select(
-        F.col("source").alias("_s"), "size", F.coalesce(F.sum("words").over(before), F.lit(0)).cast("double").alias("sure"), F.sum(F.col("words") * exact).over(after).cast("double").alias("squares"),
-    )
+    before = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    square = F.col("words") * exact
+    rest = F.sum(square).over(Window.partitionBy("source")) - F.coalesce(F.sum(square).over(before), F.lit(0))  # a frame to the end would be quadratic
+    sums = by_size.select(F.col("source").alias("_s"), "size", F.coalesce(F.sum("words").over(before), F.lit(0)).cast("double").alias("sure"), rest.cast("double").alias("squares"))
     scaled = sums.join(goals.select("source", "rest"), F.col("_s").eqNullSafe(F.col("source"))).withColumn("scale", (F.col("rest") - F.col("sure")) / F.col("squares"))
     fits = scaled.where("rest > 0 AND scale * size < 1").groupBy("source").agg(F.max(F.struct(F.col("size").alias("top"), "scale", "sure")).alias("m"))
     return fits.select("source", "m.scale", "m.top", "m.sure")
@@ -86,11 +85,9 @@ def mixing_plan(sizes: DataFrame, **targets) -> DataFrame:
     """
     goals = source_targets(sizes, **targets)
     ratio = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
-    goals = goals.select("source", "source_size", "target", F.floor(ratio).cast("long").alias("certain"), (F.col("target") - F.floor(ratio) * F.col("source_size")).alias("rest"))
-    goals = written(goals, "goals")
-    counts = sizes.groupBy(F.col("source").alias("_n")).agg(F.count(F.lit(1)).alias("n"))
+    goals = goals.select("source", "source_size", "n", "target", F.floor(ratio).cast("long").alias("certain"), (F.col("target") - F.floor(ratio) * F.col("source_size")).alias("rest"))
     scales = inclusion(sizes, goals).select(F.col("source").alias("_i"), "scale", "top", "sure")
-    goals = goals.join(counts, F.col("source").eqNullSafe(F.col("_n"))).join(scales, F.col("source").eqNullSafe(F.col("_i")), "left")
+    goals = goals.join(scales, F.col("source").eqNullSafe(F.col("_i")), "left")
     goals = written(goals.select("source", "source_size", "target", "n", "certain", "scale", "top", (F.col("rest") - F.col("sure")).alias("rest")), "goals")
     slim = written(goals.where("scale IS NOT NULL").select(F.col("source").alias("_s"), "n", "scale", "top", "rest"), "scales")
     open_ = join_hot(sizes.where("size > 0"), slim, "source", "_s", "n", "scales").where("size <= top").withColumn("q", _rank(F.col("u"), F.col("scale") * F.col("size")))
