@@ -11,48 +11,58 @@ from .common import scratch, table
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as token ids in files, read back: doc_id, start, n_tokens, ids_crc32. Null text has the end id only."""
     path = scratch(spark, "ids")
     tokenfile.write_dataset(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, vocabulary=50257)
     return tokenfile.read_documents(spark, path)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded: doc_id, n_tokens and the digests of ids and bytes. Null text counts as empty."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.DEFAULT_RANKS), public_tokenizers.PATTERN)
 
 
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each page, read back: page_id, payload_bytes, payload_digest, record_type, refers_to. Null html counts as empty."""
     path = scratch(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.read_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_links, kept of all documents; see jaccard.near_duplicates for nulls and repeated ids."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 of all documents; see linededup.drop_bitmaps for nulls and repeated ids."""
     found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of all vectors; see egojoin.near_vectors for nulls and repeated ids."""
     return egojoin.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, ambiguous of all documents; und for null text and text without a letter."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the statistics, base_failed and kept of all documents; null text has no words, a null host no verdict."""
     found = quality.judge(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of all documents; null text has the end only."""
     return lmscore.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of all documents; null source is a source of its own, null text has size 0."""
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
