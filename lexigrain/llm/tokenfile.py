@@ -195,7 +195,7 @@ def write_dataset(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
     small_batches(docs.sparkSession)
     order = (F.asc_nulls_first("doc_id"), F.xxhash64("text"))
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ranged = slim.repartitionByRange(order[0]).sortWithinPartitions(*order)
+    ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order)  # the hash parts rows of one doc_id, or of none
     ranged.mapInArrow(run, "part int, seq int, name string, n_docs long, n_ids long").write.parquet(f"{path}/manifest")
 
 

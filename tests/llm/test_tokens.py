@@ -100,3 +100,17 @@ def test_round_trip_query(spark):
         assert got[3 * i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
     back = bpe.decode(bpe.encode(rows(spark), P.path(bpe.DEFAULT_RANKS)), P.path(bpe.DEFAULT_RANKS)).collect()
     assert {r["doc_id"]: bytes(r["text_bytes"]).decode() for r in back} == {3 * i: t or "" for i, t in enumerate(TEXTS)}
+
+
+def test_rows_without_ids_are_dealt_to_several_files(spark):
+    path = scratch(spark, "t")
+    texts = [f"text number {k}" for k in range(3000)] + ["twice"] * 40
+    df = spark.createDataFrame([(None if k % 3 else 7, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    tokenfile.write_dataset(df, path, P.path("byte_bpe_50k.json"), end_id=2, vocabulary=50257)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tokenfile.read_manifest(spark, path)) > 2
+    got = sorted(tokenfile.read_documents(spark, path, digest=False).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+    assert [r["doc_id"] for r in got] == [None] * sum(k % 3 > 0 for k in range(3040)) + [7] * sum(k % 3 == 0 for k in range(3040))
+    assert sorted(map(tuple, (r["ids"] for r in got))) == sorted((*HF.encode(t, add_special_tokens=False).ids, 2) for t in texts)
