@@ -73,3 +73,28 @@ def test_near_vectors_of_nothing(spark):
     assert egojoin.near_vectors(spark.createDataFrame([], schema)).count() == 0
     (row,) = egojoin.near_vectors(spark.createDataFrame([(None, 1, [1.0])], schema)).collect()
     assert tuple(row) == (None, 0, None, False)
+
+
+def test_repeated_ids_with_different_vectors(spark):
+    """Links are of rows; rows of one vec_id are one node of the components."""
+    rows = [(1, 1, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 1, [0.0, 1.0]), (3, 1, [1.0, 0.01])]
+    got = egojoin.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
+def test_many_groups_and_repeated_rows(spark, monkeypatch):
+    """Blocks of 4 in groups of 2, so that many tiles meet; repeated ids with equal and with other vectors."""
+    monkeypatch.setattr(egojoin, "GROUP", 2)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(30, 12))
+    rows = [(k % 350, 1, [float(x) for x in np.float32(centres[k % 30] + rng.normal(size=12) * 0.08)]) for k in range(360)]
+    rows += rows[:3]
+    got = egojoin.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3), block=4).collect()
+    units = np.asarray([r[2] for r in rows])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    near = (units @ units.T >= 0.98) & ~np.eye(len(rows), dtype=bool)
+    ids = np.asarray([r[0] for r in rows])
+    root = np.asarray(reach(len(rows), [*zip(*np.nonzero(near), strict=True), *zip(*np.nonzero(ids[:, None] == ids[None, :]), strict=True)]))
+    first = {r: ids[root == r].min() for r in set(root.tolist())}
+    want = sorted((int(i), int(n.sum()), int(first[r])) for i, n, r in zip(ids, near, root.tolist(), strict=True))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want
