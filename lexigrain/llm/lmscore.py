@@ -253,4 +253,5 @@ def score(docs: DataFrame, vocabulary_path: str, folds: int = 10, held_out: int
         return pa.table({k: x if isinstance(x, pa.ChunkedArray) else pa.array(x) for k, x in zip(columns, values, strict=True)})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(run, schema)
+    parts = max(1, 2 * texts.select("chunk").distinct().count())  # a few chunks for each task at any size
+    return texts.repartition(parts, "chunk").groupBy("chunk").cogroup(known.repartition(parts, "of").groupBy("of")).applyInArrow(run, schema)
