@@ -89,7 +89,7 @@ def small_batches(spark: SparkSession, rows: int = 4000, size: int = 16 << 20) -
 
 
 #: Rows up to which a table of slim rows may be broadcast.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 20_000
 #: Rows beyond which a key is hot, where more than BROADCAST_ROWS keys are joined.
 HOT_ROWS = 1_000
 

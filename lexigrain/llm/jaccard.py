@@ -399,11 +399,13 @@ def _links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, percent: in
     sizes = written(clusters.groupBy(F.col("component").alias("cluster")).agg(F.count(F.lit(1)).alias("size")), "sizes")
     of = join_hot(clusters, sizes, "component", "cluster", "size", "sizes").join(classes.select("cid", "key", "copies", "first_id"), F.col("node") == F.col("cid"))
     texts = docs.select(F.col("doc_id").cast("long").alias("t_id"), F.col("text").cast("string").alias("text"))
-    sets = _sets(texts.join(of, F.col("t_id") == F.col("first_id")))
+    sets = _sets(texts.hint("merge").join(of, F.col("t_id") == F.col("first_id")))  # the same plan at every size
     sets = written(sets.dropDuplicates(["cid"]) if repeated else sets, "sets")
     small = sets.where(F.col("size") <= tile).withColumn("own", F.lit(0)).withColumn("low", F.lit(0)).withColumn("high", F.lit(0))
     if sizes.where(F.col("size") > tile).isEmpty():
-        return written(_verified(small, percent), "checked")
+        checked = written(_verified(small, percent), "checked")
+        discard(sets, sizes)
+        return checked
     large = written(_cores(sets.where(F.col("size") > tile), percent), "large")
     n = lambda cond: F.count_if(cond)
     counts = large.groupBy(F.col("cluster").alias("c")).agg(
@@ -413,7 +415,9 @@ def _links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, percent: in
     settled = marked.where("core").select("cid", (F.col("w_core") - F.col("copies")).alias("links"), F.col("cluster").alias("root"))
     tiles = _tiled(marked.where("n_rest > 0"), tile, F.xxhash64("cid")).select(*small.select("cluster", "low", "high", "cid", "copies", "own", "shingles").columns)
     tiles = tiles.unionByName(small.select(*tiles.columns))
-    return written(_verified(tiles, percent).unionByName(settled), "checked")
+    checked = written(_verified(tiles, percent).unionByName(settled), "checked")
+    discard(sets, sizes, large)
+    return checked
 
 
 def near_duplicates(
@@ -448,5 +452,6 @@ def near_duplicates(
     known = known.join(graph.least_ids(comps, classes), F.col("cid") == F.col("node"), "left")
     known = known.select("k", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("least", "first_id").alias("c"))
     out = join_hot(rows, known, "key", "k", "copies", "known").select(F.col("id").alias("doc_id"), F.col("c").alias("class_id"), F.col("n").cast("long").alias("n_links"))
+    discard(classes, clusters, checked, comps)  # what is known of the classes is a table of its own
     alone = described.where(~member).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
