@@ -29,15 +29,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: that with the smallest doc_id, once. Rows without an id stay."""
-    keep = jaccard.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    chosen = docs.select(*COLUMNS).join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
-    once = chosen.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).select(*COLUMNS)
+    """One document of each class of near-duplicates: that with the smallest doc_id, once. Rows without an id stay.
+
+    Rows that share a doc_id are one document; of equal ones among them one stays, which one makes no difference.
+    """
+    found = written(jaccard.near_duplicates(docs), "near")
+    keep = written(found.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")), "keep")
+    once = docs.select(*COLUMNS).hint("merge").join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
+    if not keep.where("_n > 1").isEmpty():
+        once = once.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).select(*COLUMNS)
     return once.unionByName(docs.select(*COLUMNS).where(F.col("doc_id").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; documents that tie at the cut are taken together."""
     return mixing.mixed_documents(docs.select(*COLUMNS))
 
 
