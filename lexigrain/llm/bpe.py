@@ -122,7 +122,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PA
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("int32")), pa.array(ids.astype("int32")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "ids"])
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=4 << 20)  # a batch's chunks and places take some ten times its text
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -162,6 +162,6 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizer
             ] + [pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())] * with_ids
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=4 << 20)  # a batch's chunks and places take some ten times its text
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
