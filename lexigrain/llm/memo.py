@@ -9,6 +9,7 @@ the ids of all chunks.
 from __future__ import annotations
 
 import gc
+import re
 from array import array
 from collections.abc import Callable, Iterable, Sequence
 
@@ -20,6 +21,19 @@ import pyarrow.compute as pc
 UNSURE = frozenset("\u180e\u200b\u200c\u200d\u2060\ufeff")
 #: Characters that patterns keep together after a word: no letter, number, white space or apostrophe.
 ENDS = ".,;:!?"
+#: Bytes of text that are encoded at once: places and chunks take some ten times as much.
+SLICE = 4 << 20
+#: A space that certainly begins a pre-token.
+CUT = re.compile(r" (?=[^\s\u180e\u200b\u200c\u200d\u2060\ufeff])")
+
+
+def sliced(text: str, size: int) -> list[str]:
+    """text in slices of about `size` characters, cut where a pre-token certainly begins; longer where none does."""
+    out, begin = [], 0
+    while (found := CUT.search(text, begin + size)) is not None:
+        out.append(text[begin : found.start()])
+        begin = found.start()
+    return [*out, text[begin:]]
 
 
 def glued(chunks: list[str]) -> list[str]:
@@ -86,11 +100,30 @@ class ChunkMemo:
         return [known[c] for c in missing]
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids as unsigned 32-bit integers, and where those of each text end; null counts as empty."""
+        """All ids as unsigned 32-bit integers, and where those of each text end; null counts as empty.
+
+        Texts are encoded SLICE bytes at a time, a longer text in slices, so that what is held grows with the ids alone.
+        """
         collects = gc.isenabled()
         gc.disable()  # the many lists of a batch hold no cycles, and each full collection walks the memories
         try:
-            return self._encode(texts)
+            upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("i8"))
+            if not len(upto) or upto[-1] <= SLICE:
+                return self._encode(texts)
+            parts, ends, at = [], [], 0
+            while at < len(texts):
+                before = upto[at - 1] if at else 0
+                rows = int(np.searchsorted(upto, before + SLICE, side="right")) - at
+                if rows:
+                    ids, e = self._encode(texts.slice(at, rows))
+                else:
+                    rows = 1
+                    ids = np.concatenate([self._encode(pa.array([s], pa.string()))[0] for s in sliced(texts[at].as_py(), SLICE)])
+                    e = np.asarray([len(ids)])
+                parts.append(ids)
+                ends.append(e + (ends[-1][-1] if ends else 0))
+                at += rows
+            return np.concatenate(parts), np.concatenate(ends)
         finally:
             if collects:
                 gc.enable()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, egojoin, jaccard, langid, linededup, lmscore, mixing, quality, tokenfile, warc
+from . import bpe, egojoin, importance, jaccard, langid, linededup, lmscore, merkle, mixing, packing, quality, tokenfile, warc
 from .common import scratch, table
 
 
@@ -67,8 +67,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document in sequences of 2,048 ids; null text has the end id only. See packing.pack."""
+    return packing.pieces(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of all documents; see merkle.verified_proofs."""
+    return merkle.verified_proofs(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score, rank of all documents towards benchmark; see importance.resample."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+#: crc32 of a DuckDB blob: the bits of each byte folded into the remainder.
+CRC = "xor(list_reduce([4294967295::BIGINT] || [('0x' || substr(hex({0}), 2 * k + 1, 2))::BIGINT FOR k IN range(octet_length({0}))], lambda a, b: list_reduce([xor(a, b)] || range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"
+FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(({0})::VARCHAR))::VARCHAR || ':' || ({0})::VARCHAR END"
+LEAF = "sha256(" + " || ".join(FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
 SQL = {
     "op2_warc_archive": r"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages),
@@ -156,6 +176,44 @@ q AS (SELECT d.*, source_size, target, certain, top, rest - sure AS rest, CASE W
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source),
 c AS (SELECT *, q IS NOT NULL AND sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2 <= rest AS picked FROM q)
 SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * (certain + CASE WHEN picked OR coalesce(size > top, false) THEN 1 ELSE 0 END))::BIGINT AS taken FROM c""",
+    "op12_merkle_manifest": rf"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, lang, {LEAF.format("text")} AS leaf, coalesce({CRC.format("encode(doc_id::VARCHAR)")} % 3 = 0, false) AS hit,
+         {LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS other FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM r),
+t AS (SELECT lang, 0 AS level, i, n, leaf AS h FROM l
+  UNION ALL SELECT lang, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lang, level, i // 8, n),
+s AS (SELECT lang, h, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, i, n, h FROM s UNION ALL SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY level, i // 8, n),
+p AS (SELECT l.lang, l.i AS leaf_i, t.level, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < l.i // (8 ** t.level)::BIGINT), '') AS before, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > l.i // (8 ** t.level)::BIGINT), '') AS after
+  FROM l JOIN t ON l.lang IS NOT DISTINCT FROM t.lang AND t.n > 1 AND t.i // 8 = l.i // (8 ** (t.level + 1))::BIGINT GROUP BY l.lang, l.i, t.level),
+q AS (SELECT s.lang, u.level, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i < s.i // (8 ** u.level)::BIGINT), '') AS before, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i > s.i // (8 ** u.level)::BIGINT), '') AS after
+  FROM s JOIN u ON u.n > 1 AND u.i // 8 = s.i // (8 ** (u.level + 1))::BIGINT GROUP BY s.lang, u.level),
+a AS (SELECT lang, leaf_i, list({{'b': before, 'a': after}} ORDER BY level) AS steps FROM p GROUP BY lang, leaf_i),
+b AS (SELECT lang, list({{'b': before, 'a': after}} ORDER BY level) AS steps FROM q GROUP BY lang),
+w AS (SELECT l.*, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, coalesce(a.steps, []) || coalesce(b.steps, []) AS steps FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang
+  LEFT JOIN a ON a.lang IS NOT DISTINCT FROM l.lang AND a.leaf_i = l.i LEFT JOIN b ON b.lang IS NOT DISTINCT FROM l.lang),
+f AS (SELECT doc_id, leaf, subroot, root, sha256(array_to_string([x.b || x.a FOR x IN steps], '')) AS proof_sha256,
+             list_reduce([{{'b': CASE WHEN hit THEN other ELSE leaf END, 'a': ''}}] || steps, lambda h, x: {{'b': sha256(x.b || h.b || x.a), 'a': ''}}).b AS folded_root FROM w)
+SELECT *, folded_root = root AS verified FROM f""",
+    "op13_importance_resampling": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+e AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM d) GROUP BY doc_id, w), ew AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM e) GROUP BY w),
+k AS (SELECT w, {CRC.format("encode(w)")} % 10000 AS b FROM (SELECT w FROM dw UNION SELECT w FROM ew)),
+s AS (SELECT b, sum(n) AS s FROM dw JOIN k USING (w) GROUP BY b), t AS (SELECT b, sum(n) AS t FROM ew JOIN k USING (w) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (b)),
+v AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM dw JOIN k USING (w) JOIN g USING (b) GROUP BY doc_id),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT::DOUBLE AS h FROM d LEFT JOIN v USING (doc_id)),
+x AS (SELECT doc_id, n_features, weight, (weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT)::BIGINT AS score FROM c),
+y AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (n_features >= 20) OVER () AS m FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * m // 100 THEN r END AS rank FROM y""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_warc_archive, op3_ngram_jaccard, op4_line_dedup, op5_byte_bpe, op6_embedding_dedup, op7_language_id, op8_quality_rules, op9_lm_score, op10_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_files, op2_warc_archive, op3_ngram_jaccard, op4_line_dedup, op5_byte_bpe, op6_embedding_dedup, op7_language_id, op8_quality_rules, op9_lm_score, op10_mixing,
+        op11_packing, op12_merkle_manifest, op13_importance_resampling,
+    )
+}
