@@ -71,9 +71,10 @@ class Buckets:
             for k in range(self.low, self.high + 1):
                 w = last[len(last) - k + 1 :] + words if k > 1 else words
                 found += self._of(w if k == 1 else [b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)])
-            seen = np.bincount(found, minlength=len(total)) if found else np.zeros(0, dtype="i8")
-            seen[: len(total)] += total
-            total = seen if len(seen) else total
+            if found:
+                seen = np.bincount(found, minlength=len(total))
+                seen[: len(total)] += total
+                total = seen
             last = (last + words)[-(self.high - 1) :] if self.high > 1 else last
         which = np.flatnonzero(total)
         return which, total[which], n
@@ -172,7 +173,7 @@ def draw(weighted: DataFrame, least: int, percent: int, seed: int, scale: int =
     score is weight plus scaled Gumbel noise from a hash of seed and doc_id; of equal scores the smaller doc_id comes
     first, null last, then the place in the matrix. Rows are ranked by ranges of that order, so no task sorts all.
     """
-    h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), ), 256), 1, 8), 16, 10).cast("double")
+    h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-float(scale) * F.ln(-F.ln((h + 0.5) / 4294967296.0)))
     scored = written(weighted.withColumn("score", F.col("weight") + noise), "scores")
     fit = F.col("n_words") >= least
