@@ -39,7 +39,7 @@ class Rules:
     cut: int = 8
     hard: int = 32
     each: int = 32
-    grid: int = 32
+    grid: int = 64
 
 
 class Marks:
@@ -91,34 +91,44 @@ def boundaries(ids: np.ndarray, ends: np.ndarray, marks: Marks, rules: Rules) ->
 def best_cuts(places: np.ndarray, penalty: np.ndarray, rules: Rules) -> list[int]:
     """The indices of places where windows end, the last one included; windows begin at 0. Of equal costs the longest last window."""
     at = np.concatenate([[0], places])
+    index = np.full(int(at[-1]) + 1, -1, dtype="i4")  # the boundary at each place
+    index[at] = np.arange(len(at))
     to, of = [], []
     size = 1
     while size < rules.window:
-        hit = np.searchsorted(at, at - size)
-        found = np.flatnonzero((at >= size) & (at[np.minimum(hit, len(at) - 1)] == at - size))
-        to.append(found)
-        of.append(hit[found])
+        found = np.flatnonzero(at >= size)
+        hit = index[at[found] - size]
+        to.append(found[hit >= 0])
+        of.append(hit[hit >= 0])
         size *= 2
     to, of = np.concatenate(to), np.concatenate(of)
-    order = np.argsort(to, kind="stable")
-    hits, upto = of[order].tolist(), np.searchsorted(to[order], np.arange(len(at) + 1)).tolist()
-    at, cost = at.tolist(), (penalty + rules.each).tolist()
+    hits: dict[int, list[int]] = {}
+    for j, i in zip(to.tolist(), of.tolist(), strict=True):
+        hits.setdefault(j, []).append(i)
+    at, window = at.tolist(), rules.window
     f, back, keys = [0] * len(at), [0] * len(at), [0] * len(at)  # keys: f + place, ascending along the queue
-    queue, head, window = [0], 0, rules.window
-    for j in range(1, len(at)):
-        low = at[j] - window
-        while at[queue[head]] < low:
-            head += 1
+    queue, head = [0], 0
+    pop, append, get = queue.pop, queue.append, hits.get
+    for j, cost in enumerate((penalty + rules.each).tolist(), 1):
+        place = at[j]
+        low = place - window
         i = queue[head]
+        while at[i] < low:
+            head += 1
+            i = queue[head]
         best = keys[i] - low
-        for h in hits[upto[j] : upto[j + 1]]:
+        for h in get(j, ()):
             if f[h] < best:
                 i, best = h, f[h]
-        f[j], back[j] = best + cost[j - 1], i
-        key = keys[j] = f[j] + at[j]
-        while len(queue) > head and keys[queue[-1]] > key:
-            queue.pop()
-        queue.append(j)
+        best += cost
+        f[j], back[j] = best, i
+        key = keys[j] = best + place
+        while keys[queue[-1]] > key and len(queue) > head + 1:
+            pop()
+        if keys[queue[-1]] > key:
+            queue[-1] = j
+        else:
+            append(j)
     chosen, j = [], len(at) - 1
     while j:
         chosen.append(j - 1)
