@@ -37,7 +37,7 @@ def class_report(counts: DataFrame, by: Sequence[str] = (), labels: Sequence[str
         parts.append(F.struct(F.lit(label).alias("label"), _ratio(tp, pp).alias("precision"), _ratio(tp, sp).alias("recall"), _ratio(2 * tp, pp + sp).alias("f1"), sp.alias("support"), tp.alias("tp")))
     # one pass for all labels: a union would count once for each
     wide = counts.groupBy(*by).agg(*total)
-    return wide.select(*by, F.explode(F.array(*parts)).alias("c"), "rows").select(*by, "c.*", "rows")
+    return wide.select(*by, F.explode(F.array(*parts)).alias("_of"), "rows").select(*by, "_of.*", "rows")
 
 
 def classification_report(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:

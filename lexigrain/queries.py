@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as sc
 from .functions import text as tx
 from .operators import aggregates, cleaning, features, joins, labels, metrics, ranking, sampling
-from .plans import models
+from .plans import grids, models, svm
 from .sources import html as web
 from .sources.reviews import load_reviews, table
 from .storage import shared_dir, written
@@ -595,20 +595,26 @@ def orders_by_nation(spark, sf_dir):
 
 @query()
 def svm_predict(spark, sf_dir):
-    """Fitted on strat_split's train rows; predictions for all rows, with the split."""
-    df = labelled(spark, sf_dir).select(F.col("row_id").alias("doc"), "label", "text")
-    w = written(features.tfidf_features(df, "doc", "text", 1, 1, min_df=5), "weights")
-    split = sampling.stratified_split(df.select("doc", "label"), "label", "doc")
-    rows = written(models.sparse_vectors(w, models.numbered_terms(w), split), "vectors")
-    return models.fit_svm(rows.where("split = 'train'"), "label").predict(rows).select("doc", "label", "split", "pred")
+    """Squared hinge machines of TF-IDF words in five texts or more, fitted on the train rows; predictions for all rows, with the split."""
+    rows = written(sampling.stratified_split(labelled(spark, sf_dir).select(F.col("row_id").alias("doc"), "label", "text"), "label", "doc"), "split")
+    tables = [grids.Sparse("TF-IDF", 1, 5, True)]
+    v = grids.merged_vectors(grids.feature_tables(rows, tables), rows, 1)
+    model = svm.fit_linear(v.rows.where("split = 'train' AND y >= 0"), "doc", v.sizes, grids.balanced(rows), (1.0,))
+    names = F.array(*[F.lit(x) for x in sc.LABELS])
+    return svm.linear_predict(model, v.rows, ("doc", "label", "split"), 1.0).select("doc", "label", "split", F.get(names, F.col("pred")).alias("pred"))
 
 
 @query()
 def rff_svm_predict(spark, sf_dir):
+    """Kernel machines of pairs of classes on standardised vectors, fitted on the train rows; predictions for all rows, with the split."""
     df = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("label"), "embedding")
-    split = sampling.stratified_split(df, "label", "vec_id")
-    rows = written(models.fourier_features(split, "embedding", DIMS), "vectors")
-    return models.fit_svm(rows.where("split = 'train'"), "label", c=10.0).predict(rows).select("vec_id", "label", "split", "pred")
+    split = written(sampling.stratified_split(df, "label", "vec_id"), "split")
+    train = split.where("split = 'train'")
+    names = ["c0", "c1", "c2"]
+    number = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("label")).cast("int") - 1
+    z = written(features.scaled(split, "embedding", features.scaler(train, "embedding", DIMS)).withColumn("y", number), "scaled")
+    model = svm.fit_kernel(z.where("split = 'train' AND y >= 0"), "embedding", "y", "vec_id", grids.balanced(split, names), (10.0,))
+    return svm.kernel_predict(model, z, "embedding", ("vec_id", "label", "split")).select("vec_id", "label", "split", F.get(F.array(*[F.lit(x) for x in names]), F.col("pred")).alias("pred"))
 
 
 @query()
@@ -619,28 +625,84 @@ def w2v_features(spark, sf_dir):
     return features.weighted_mean_vectors(w, vectors, df, 200)
 
 
-NB_FEATURES = [("BoW", n, m) for n in ((1, 1), (1, 2)) for m in (1, 2)] + [("TF-IDF", (1, 2), m) for m in (1, 2, 3, 5)]
+def _split_rows(spark, sf_dir):
+    """doc, split, label, text: the labelled rows, split by label."""
+    rows = sampling.stratified_split(labelled(spark, sf_dir).select(F.col("row_id").alias("doc"), "label", "text"), "label", "doc")
+    return written(rows.select("doc", "split", "label", "text"), "split")
 
 
-def _nb_candidates(train, val):
-    """Survey M6's naive Bayes over sparse features: each setting for each feature table, fitted on train."""
-    for name, (low, high), min_df in NB_FEATURES:
-        known = features.term_counts(train, "doc", "text", low, high, min_df)
-        if name == "BoW":
-            terms = known.select("term").distinct()
-            weights = lambda part: features.term_counts(part, "doc", "text", low, high).join(terms, "term", "left_semi").withColumnRenamed("tf", "w")  # noqa: B023, E731
-        else:
-            idf = features.idf_table(known, train.agg(F.count(F.lit(1)).alias("n")))
-            weights = lambda part: features.tfidf(features.term_counts(part, "doc", "text", low, high), idf)  # noqa: B023, E731
-        for _, p, predict in models.nb_candidates(train, val, weights):
-            yield f"{name} + NB", {"ngram": (low, high), "min_df": min_df} | p, predict
+LABEL_SPLIT = f"""
+WITH x AS (SELECT row_id AS doc, label, {TOKENS} AS t FROM reviews WHERE label IS NOT NULL),
+z AS (SELECT label AS s, count(*) AS n FROM x GROUP BY s), t AS (SELECT ceil(0.15 * sum(n) - 1e-9) AS t, sum(n) AS n FROM z),
+q AS (SELECT s, floor(z.n * t / t.n::DOUBLE) AS w, z.n * t / t.n::DOUBLE - floor(z.n * t / t.n::DOUBLE) AS r, t FROM z, t),
+a AS (SELECT s, w + (row_number() OVER (ORDER BY r DESC, s) <= t - sum(w) OVER ())::INT AS quota FROM q),
+h AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha1('42|' || doc), doc) AS p FROM x),
+sp AS (SELECT doc, label, h.t, CASE WHEN p <= quota THEN 'val' ELSE 'train' END AS split FROM h JOIN a ON s = label)"""
+
+
+@query(LABEL_SPLIT + f""",
+g AS (SELECT doc, split, label, unnest(t) AS term FROM sp UNION ALL SELECT doc, split, label, unnest([t[i] || ' ' || t[i + 1] FOR i IN range(1, len(t))]) FROM sp),
+c AS (SELECT doc, split, label, term, count(*) AS tf FROM g GROUP BY ALL),
+o AS (SELECT term, count(*) AS df, contains(term, ' ')::INT + 1 AS size FROM c WHERE split = 'train' GROUP BY term),
+ft(f, feature, ngram, min_df) AS (VALUES (0, 'BoW', 1, 1), (1, 'BoW', 1, 2), (2, 'BoW', 2, 1), (3, 'BoW', 2, 2), (4, 'TF-IDF', 2, 1), (5, 'TF-IDF', 2, 2), (6, 'TF-IDF', 2, 3), (7, 'TF-IDF', 2, 5)),
+r AS (SELECT f, doc, split, label, term, f > 3 AS tfidf, CASE WHEN f > 3 THEN (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM sp WHERE split = 'train')) / (1.0::DOUBLE + df)) + 1) ELSE tf::DOUBLE END AS raw
+      FROM c JOIN o USING (term) JOIN ft ON size <= ngram AND df >= min_df),
+w AS (SELECT f, doc, split, label, term, CASE WHEN tfidf THEN raw / sqrt(sum(raw * raw) OVER (PARTITION BY f, doc)) ELSE raw END AS w FROM r),
+s AS (SELECT f, label, term, sum(w) AS s FROM w WHERE split = 'train' GROUP BY f, label, term),
+v AS (SELECT f, count(DISTINCT term) AS v FROM s GROUP BY f), y AS (SELECT f, label, sum(s) AS total FROM s GROUP BY f, label),
+n AS (SELECT label, count(*) AS n FROM sp WHERE split = 'train' GROUP BY label),
+k AS (SELECT f, label, ln(n::DOUBLE / sum(n) OVER (PARTITION BY f)) AS fitted, -ln(count(*) OVER (PARTITION BY f)::DOUBLE) AS uniform, coalesce(total, 0) AS total, coalesce(v, 0) AS v
+      FROM n CROSS JOIN ft LEFT JOIN y USING (f, label) LEFT JOIN v USING (f)),
+al(alpha) AS (VALUES (0.1::DOUBLE), (0.3), (0.5), (1.0)), pr(fit_prior) AS (VALUES (true), (false)),
+mass AS (SELECT f, doc, sum(w) AS mass FROM w WHERE split = 'val' GROUP BY f, doc),
+parts AS (SELECT w.f, w.doc, s.label, alpha, sum(w * ln((s + alpha) / alpha)) AS d FROM w JOIN s ON s.f = w.f AND s.term = w.term, al WHERE split = 'val' GROUP BY w.f, w.doc, s.label, alpha),
+e AS (SELECT k.f, al.alpha, fit_prior, sp.doc, sp.label AS truth, k.label, CASE WHEN fit_prior THEN fitted ELSE uniform END + coalesce(mass * ln(al.alpha / (total + al.alpha * v)), 0) + coalesce(d, 0) AS score
+      FROM sp CROSS JOIN k CROSS JOIN al CROSS JOIN pr LEFT JOIN mass ON mass.f = k.f AND mass.doc = sp.doc
+      LEFT JOIN parts ON parts.f = k.f AND parts.doc = sp.doc AND parts.label = k.label AND parts.alpha = al.alpha WHERE split = 'val'),
+b AS (SELECT f, e.alpha, fit_prior, doc, any_value(truth) AS t, arg_min(label, (-round(score, 9), label)) AS p FROM e GROUP BY f, e.alpha, fit_prior, doc),
+m AS (SELECT f, alpha, fit_prior, names.label, count(*) FILTER (t = names.label AND p = names.label) AS tp, count(*) FILTER (p = names.label) AS pp, count(*) FILTER (t = names.label) AS sp, count(*) AS n FROM b, {LABELS3} GROUP BY f, alpha, fit_prior, names.label)
+SELECT feature, ngram, min_df, alpha, fit_prior, round(sum(tp)::DOUBLE / any_value(n), 4) AS accuracy, round(avg(coalesce(2.0::DOUBLE * tp / nullif(pp + sp, 0), 0)), 4) AS macro_f1
+FROM m JOIN ft USING (f) GROUP BY feature, ngram, min_df, alpha, fit_prior""")
+def nb_grid(spark, sf_dir):
+    """Multinomial naive Bayes: eight settings over eight feature tables, fitted on train rows, scored on validation rows."""
+    rows = _split_rows(spark, sf_dir)
+    return grids.nb_scores(grids.feature_tables(rows), rows)
 
 
 @query()
-def nb_grid(spark, sf_dir):
-    df = sampling.stratified_split(labelled(spark, sf_dir).select(F.col("row_id").alias("doc"), "label", "text"), "label", "doc")
-    rows = models.choose(_nb_candidates(df.where("split = 'train'"), df.where("split = 'val'")))
-    return spark.createDataFrame([(r["name"], str(r["params"]), r["macro_f1"], r["accuracy"]) for r in rows], "name string, params string, macro_f1 double, accuracy double")
+def svm_grid(spark, sf_dir):
+    """Linear machines of squared hinge loss: six values of C over eight feature tables."""
+    rows = _split_rows(spark, sf_dir)
+    return grids.svm_scores(grids.feature_tables(rows), rows)
+
+
+def _word_vector_rows(spark, sf_dir, size=200):
+    """doc, split, label, vector: means of word vectors by TF-IDF, both learned from the train rows."""
+    rows = _split_rows(spark, sf_dir)
+    train = rows.where("split = 'train'")
+    vectors = written(models.word_vectors(train, "text", size), "words")
+    counts = written(features.term_counts(rows, "doc", "text"), "counts")
+    idf = features.idf_table(counts.join(train.select("doc"), "doc", "left_semi"), train.agg(F.count(F.lit(1)).alias("n")))
+    means = features.weighted_mean_vectors(features.tfidf(counts, idf, sublinear=False), vectors, rows, size)
+    return written(rows.drop("text").join(means, "doc"), "means")
+
+
+@query()
+def w2v_grid(spark, sf_dir):
+    """Gaussian naive Bayes (six settings) and kernel machines (five values of C) over word vectors."""
+    return grids.dense_scores(_word_vector_rows(spark, sf_dir), "vector", 200)
+
+
+@query()
+def best_configurations(spark, sf_dir):
+    """The best setting of each feature and classifier of the sparse grids; of equal ones the first in the grid's order."""
+    rows = _split_rows(spark, sf_dir)
+    weights = grids.feature_tables(rows)
+    nb = grids.best_of(grids.nb_scores(weights, rows), ["feature"], "ngram", "min_df", "alpha", F.desc("fit_prior"))
+    linear = grids.best_of(grids.svm_scores(weights, rows), ["feature"], "ngram", "min_df", "c")
+    params = lambda c: F.concat(*[x for n in c for x in (F.lit(f" {n} "), F.col(n).cast("string"))])
+    parts = [d.select("feature", F.lit(a).alias("algo"), F.ltrim(params(c)).alias("params"), "accuracy", "macro_f1") for d, a, c in ((nb, "NB", ("ngram", "min_df", "alpha", "fit_prior")), (linear, "SVM", ("ngram", "min_df", "c")))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("SELECT event_id, user_id, event_type FROM events", base=False)
