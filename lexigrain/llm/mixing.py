@@ -108,9 +108,30 @@ def mixing_plan(sizes: DataFrame, **targets) -> DataFrame:
     return out.select("source", "source_size", "target", "n", "certain", "scale", "top", "whole", "cut")
 
 
-def document_sizes(docs: DataFrame, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size (words; 0 for null text), u and the columns of keep."""
-    return docs.select("doc_id", "source", *keep, n_words(F.col("text")).alias("size"), uniform(seed, "doc_id", "source").alias("u"))
+#: Numbers of one block of equal rows.
+NUMBERED = 4096
+
+
+def document_sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, digest (md5 of the text), size (words; 0 for null text), n: written, a row for all that are equal."""
+    slim = docs.select("doc_id", "source", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("digest"), n_words(F.col("text")).alias("size"))
+    return written(slim.groupBy("doc_id", "source", "digest", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
+
+
+def draws(sizes: DataFrame, seed: int = 17) -> DataFrame:
+    """doc_id, source, digest, size, u: a row for each document of document_sizes(), equal ones with draws of their own.
+
+    Equal rows are numbered by counting, those of many in blocks that are dealt out, so no task makes all of them.
+    """
+    few, many = sizes.where(F.col("n") <= NUMBERED), sizes.where(F.col("n") > NUMBERED)
+    first = many.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / NUMBERED)))).repartition("doc_id", "source", "digest", "_b")
+    at = first.withColumn("_from", F.col("_b") * NUMBERED)
+    each = [
+        few.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))),
+        at.withColumn("nth", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + NUMBERED, F.col("n")) - 1))),
+    ]
+    both = each[0].select("doc_id", "source", "digest", "size", "nth").unionByName(each[1].select("doc_id", "source", "digest", "size", "nth"))
+    return both.withColumn("u", uniform(seed, "doc_id", "source", "digest", "nth")).drop("nth")
 
 
 def copies(sizes: DataFrame, plan: DataFrame) -> DataFrame:
@@ -126,16 +147,37 @@ def copies(sizes: DataFrame, plan: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 17, **targets) -> DataFrame:
     """doc_id, source, size, source_size, target, copies for docs(doc_id, text, source): a row for each input row.
 
-    Null source is a source of its own; null text has size 0 and adds nothing. Equal rows get equal numbers except at
-    the cut, where each counts once more. The same input and seed give the same mix. An empty table gives no rows.
+    Null source is a source of its own; null text has size 0 and adds nothing. The draw is a hash of doc_id, source and
+    text; rows without or with repeated ids have draws by their text, and rows equal in all three are numbered, each with
+    a draw of its own. The same input and seed give the same mix. An empty table gives no rows.
     """
-    sizes = written(document_sizes(docs, seed), "sizes")
-    return copies(sizes, mixing_plan(sizes, **targets)).select("doc_id", "source", "size", "source_size", "target", "copies")
+    drawn = written(draws(document_sizes(docs), seed), "draws")
+    return copies(drawn, mixing_plan(drawn, **targets)).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17, **targets) -> DataFrame:
-    """The rows of docs as often as mix() takes them, with their columns. Texts are read twice and never shuffled."""
-    slim = written(document_sizes(docs, seed), "sizes")
-    whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))  # no column can clash
-    taken = copies(document_sizes(whole, seed, ("_row",)), mixing_plan(slim, **targets))
-    return taken.where("copies > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
+    """The rows of docs as often as mix() takes them, with their columns. Texts are read twice and not shuffled.
+
+    Of rows that are equal in doc_id, source and text, one stands for all: it comes as often as they do together.
+    """
+    sizes = document_sizes(docs)
+    drawn = written(draws(sizes, seed), "draws")
+    plan = mixing_plan(drawn, **targets)
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    whole = docs.select("doc_id", "source", digest.alias("digest"), n_words(F.col("text")).alias("size"), F.struct(*docs.columns).alias("_row"))  # no column can clash
+    several = sizes.where("n > 1")
+    once = whole
+    key = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("doc_id", "source", "digest")]).cast("binary"))
+    taken = []
+    if not several.isEmpty():
+        equal = written(several.select(key.alias("_key"), F.col("n").alias("_n")), "equal")
+        together = copies(drawn, plan).withColumn("_key", key).groupBy("_key").agg(F.sum("copies").alias("copies"))
+        marked = join_hot(whole.withColumn("_own", key), equal, "_own", "_key", "_n", "equal", "left")
+        once = marked.where("_n IS NULL").select(*whole.columns)
+        group = marked.where("_n IS NOT NULL").groupBy("_own").agg(F.first("_row").alias("_row"))
+        taken.append(group.join(together, F.col("_own") == F.col("_key")).select("_row", "copies"))
+    once = once.withColumn("nth", F.lit(0)).withColumn("u", uniform(seed, "doc_id", "source", "digest", "nth"))
+    every = copies(once, plan).select("_row", "copies")
+    for t in taken:
+        every = every.unionByName(t)
+    return every.where("copies > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")

@@ -157,9 +157,8 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM f LEFT JOIN r USING (source)""",
     "op10_mixing": rf"""
 WITH d AS (
-  SELECT doc_id, source, len({WORDS})::BIGINT AS size,
-         (('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(source, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
-  FROM documents),
+  SELECT *, (('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(source, '') || '|' || digest || '|' || nth), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5(coalesce(text, '')) AS digest, row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) - 1 AS nth FROM documents)),
 t AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1)::BIGINT % 3 + 1]::DOUBLE AS w, 2.0 * source_size AS cap FROM t),
 l AS (SELECT *, 1.5 * sum(source_size) OVER () AS asked, cap / w <=

@@ -161,3 +161,27 @@ def test_inclusion_frequencies(spark):
         share = [r["copies"] for r in got if r["size"] == n]
         assert abs(sum(share) / len(share) - want[n]) < 0.09
     assert abs(sum(r["size"] * r["copies"] for r in got) / (400 * 0.9 * sum(sizes)) - 1) < 0.02
+
+
+@pytest.mark.parametrize(("ids", "texts"), [("none", "same"), ("none", "own"), ("one", "same"), ("two", "sizes")])
+def test_rows_without_or_with_repeated_ids_reach_the_target(spark, monkeypatch, ids, texts):
+    """1,000 rows of one source: each has its own draw, whatever it shares with others."""
+    monkeypatch.setattr(mixing, "NUMBERED", 64)
+    doc = {"none": lambda k: None, "one": lambda k: 7, "two": lambda k: k % 2}[ids]
+    text = {"same": lambda k: "a b c", "own": lambda k: f"a b c{k}", "sizes": lambda k: "w " * (1 + k % 9)}[texts]
+    rows = [(doc(k), text(k), "s", k) for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(3)
+    got = mixing.mix(df).collect()
+    goal, largest = 1.5 * sum(r["size"] for r in got), max(r["size"] for r in got)
+    assert len(got) == 1000 and abs(sum(r["size"] * r["copies"] for r in got) - goal) <= largest
+    assert {r["copies"] for r in got} == {1, 2}
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns
+    words = mixed.selectExpr("sum(size(split(trim(text), ' '))) AS n").first()["n"]
+    assert words == sum(r["size"] * r["copies"] for r in got)
+
+
+def test_a_very_long_text_is_mixed(spark):
+    rows = [(k, "w " * (3_000_000 if k == 5 else 10), "a") for k in range(20)]
+    got = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[5]["size"] == 3_000_000 and got[5]["source_size"] == 3_000_190

@@ -30,7 +30,12 @@ def planted(tmp_path_factory):
             more.append((" ".join(copy[:30]) + "\n" + "\n".join([*lines, " ".join(copy[30:])]), f"host{group}"))
     more += [("buy now", "spam.example")] * 60 + [("good words " + " ".join(words[k : k + 40]), "spam.example") for k in range(5)]
     rows = pd.DataFrame({"doc_id": range(10**6, 10**6 + len(more)), "text": [t for t, _ in more], "lang": "en", "source": [s for _, s in more], "n_chars": [len(t) for t, _ in more]})
-    pd.concat([docs, rows.astype(docs.dtypes.to_dict())]).to_parquet(f"{path}/documents.parquet")
+    every = pd.concat([docs, rows.astype(docs.dtypes.to_dict())])
+    every.to_parquet(f"{path}/documents.parquet")
+    # rows without ids, and rows that are there several times, for the operator that allows them
+    (tmp := f"{path}-repeats") and os.makedirs(tmp)
+    odd = pd.concat([every.astype({"doc_id": "Int64"}), every.head(150).astype({"doc_id": "Int64"}).assign(doc_id=pd.NA), *[every.tail(40).astype({"doc_id": "Int64"})] * 5])
+    odd.to_parquet(f"{tmp}/documents.parquet")
     pages = pd.read_parquet(f"{SF}/pages.parquet")
     copies = pages.sample(40, replace=True, random_state=1).assign(page_id=range(10**6, 10**6 + 40))
     empty = pages.head(4).assign(page_id=range(2 * 10**6, 2 * 10**6 + 4), html=["", None, "", "é"])
@@ -69,3 +74,12 @@ def test_query_equals_sql(spark, planted, duck, name):
     got, want = queries.QUERIES[name](spark, planted).toPandas(), duck.execute(queries.SQL[name]).df()
     assert SHOWS[name](got)
     pd.testing.assert_frame_equal(normal(got), normal(want), check_dtype=False)
+
+
+def test_mixing_of_repeated_rows_equals_sql(spark, planted):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{planted}-repeats/documents.parquet'")
+    got, want = queries.op10_mixing(spark, f"{planted}-repeats").toPandas(), con.execute(queries.SQL["op10_mixing"]).df()
+    assert got.doc_id.isna().sum() == 150
+    key = ["doc_id", "size", "source_size", "target", "taken"]
+    pd.testing.assert_frame_equal(*[normal(x[key]) for x in (got, want)], check_dtype=False)
