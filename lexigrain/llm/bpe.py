@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .memo import ChunkMemo
+from .memo import ChunkMemo, mapped
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -83,8 +83,7 @@ class ByteBpe:
         self.numbers = [str(i) for i in range(len(self.tokens))]
 
     def _merge(self, parts: list[str]) -> list[list[int]]:
-        mapped = [x.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.mapping) for x in parts]
-        return self.model.encode(mapped, num_threads=1) if mapped else []
+        return self.model.encode([mapped(x, self.mapping) for x in parts], num_threads=1) if parts else []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.memo.ids(texts)
@@ -99,6 +98,18 @@ class ByteBpe:
         return ",".join([numbers[i] for i in ids.tolist()]).encode()
 
 
+    def digests(self, ids: np.ndarray) -> tuple[str, str]:
+        """SHA-256 of decimal() and of decode(), a slice of the ids at a time."""
+        text, raw = hashlib.sha256(), hashlib.sha256()
+        for k in range(0, len(ids), DIGESTED):
+            part = ids[k : k + DIGESTED]
+            text.update(b"," * bool(k) + self.decimal(part))
+            raw.update(self.decode(part))
+        return text.hexdigest(), raw.hexdigest()
+
+
+#: Ids that are turned into text at once.
+DIGESTED = 1 << 18
 _loaded: dict[tuple[str, str], ByteBpe] = {}
 
 
@@ -154,11 +165,12 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizer
         for b in batches:
             flat, ends = bpe.memo.encode(b.column("text"))
             ids = np.split(flat, ends[:-1])[: len(ends)]
+            digests = [bpe.digests(x) for x in ids]
             columns = [
                 b.column("doc_id"),
                 pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(bpe.decimal(x)).hexdigest() for x in ids], pa.string()),
-                pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
+                pa.array([d for d, _ in digests], pa.string()),
+                pa.array([d for _, d in digests], pa.string()),
             ] + [pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())] * with_ids
             yield pa.RecordBatch.from_arrays(columns, names)
 

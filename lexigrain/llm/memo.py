@@ -47,16 +47,30 @@ def glued(chunks: list[str]) -> list[str]:
     return out
 
 
+def listed(chunks: pa.StringArray) -> list[str]:
+    """The chunks, none with a space, as a list: one string that is split, as it is faster than an object for each."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks)
+    return pc.binary_join(whole, " ")[0].as_py().split(" ") if len(chunks) else []
+
+
+def mapped(part: str, mapping: dict[int, str]) -> str:
+    """A pre-token's bytes as characters; of printable ASCII only the space has another one."""
+    if part.isascii() and part.isprintable():
+        return part.replace(" ", mapping[32])
+    return part.encode("utf-8", "surrogatepass").decode("latin-1").translate(mapping)
+
+
 class ChunkMemo:
     """split: a text to its pre-tokens; merge: pre-tokens to as many id lists.
 
-    Beyond `limit` remembered chunks or pre-tokens a memory starts anew, so it is bounded by the limit and what one call
-    brings.
+    Beyond half of `limit` remembered chunks the memory starts anew and keeps what the next chunks meet again; beyond
+    `limit` pre-tokens theirs starts anew. So both are bounded by the limit and what one call brings.
     """
 
     def __init__(self, split: Callable[[str], list[str]], merge: Callable[[list[str]], Iterable[Sequence[int]]], limit: int = 700_000):
         self.split, self.merge, self.limit = split, merge, limit
         self.chunks: dict[str, bytes | None] = {}  # without their space
+        self.old: dict[str, bytes | None] = {}  # those before the memory last started anew; what is met again is kept
         self.parts: dict[str, bytes] = {}  # pre-tokens that are no word after a space
 
     def _merged(self, parts: list[str]) -> list[bytes]:
@@ -77,8 +91,8 @@ class ChunkMemo:
 
         Words, and words before a sentence's marks, need no pattern: their pre-tokens are plain.
         """
-        if len(self.chunks) + len(missing) > self.limit:
-            self.chunks.clear()
+        if len(self.chunks) + len(missing) > self.limit // 2:
+            self.old, self.chunks = self.chunks, {}
         known = self.chunks
         words, marked, others = {}, [], []
         for c in missing:
@@ -134,9 +148,14 @@ class ChunkMemo:
         bounds -= bounds[0]
         coded = cut.flatten().dictionary_encode()
         which = coded.indices.to_numpy().astype("i8")
-        chunks = coded.dictionary.to_pylist()
+        chunks = listed(coded.dictionary)
         get = self.chunks.get
         pieces = [get(c, chunks) for c in chunks]
+        if self.old:
+            get, known = self.old.get, self.chunks
+            for k in [k for k, p in enumerate(pieces) if p is chunks]:
+                if (p := get(chunks[k], chunks)) is not chunks:
+                    pieces[k] = known[chunks[k]] = p
         missing = [k for k, p in enumerate(pieces) if p is chunks]
         for k, p in zip(missing, self._learn([chunks[k] for k in missing]), strict=True):
             pieces[k] = p
@@ -145,15 +164,10 @@ class ChunkMemo:
         pieces = [p or b"" for p in pieces] + self._ids([self.split(c) for c in first])
         unsafe = np.concatenate([unsafe, np.zeros(len(first), dtype=bool)])
         which[bounds[:-1]] = len(chunks) + np.arange(len(first))
-        sizes = np.asarray([len(p) for p in pieces], dtype="i8") // 4
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.frombuffer(b"".join(pieces), dtype="<u4")
-        each = sizes[which]
-        upto = np.concatenate([[0], np.cumsum(each)])
-        small = "i4" if max(upto[-1], len(flat)) < 1 << 31 else "i8"
-        at = np.repeat((starts[which] - upto[:-1]).astype(small), each)
-        at += np.arange(upto[-1], dtype=small)
-        ids = flat[at]
+        joined = pa.array(pieces, pa.large_binary()).take(pa.array(which))  # Arrow copies each chunk's ids
+        _, upto, data = joined.buffers()
+        upto = np.frombuffer(upto, "<i8", len(which) + 1) // 4
+        ids = np.frombuffer(data, "<u4", int(upto[-1])) if data else np.empty(0, dtype="<u4")
         ends = upto[bounds[1:]]
         odd = np.unique(np.searchsorted(bounds, np.flatnonzero(unsafe[which]), side="right") - 1)
         return self._glue(texts, ids, ends, odd.tolist()) if len(odd) else (ids, ends)

@@ -5,7 +5,7 @@ document (free), at the end of a sentence or line (`cut`) or, where a sentence i
 (`hard`). The sum of padding, these penalties and `each` for every window is the least of all choices. A window is padded
 to `window` ids unless its length is a power of two, so with f(j) the least cost up to boundary j at place p(j)
 
-    f(j) = penalty(j) + each + min( min over i: f(i) + window - (p(j) - p(i)),  min over i with p(j) - p(i) a power of two: f(i) )
+    f(j) = penalty(j) + each + min( min over i: f(i) + window - (p(j) - p(i)),  min over i with p(j) - p(i) a power of two >= shortest: f(i) )
 
 The first minimum is over the sliding window of p(i) >= p(j) - window, held in a monotone queue of f(i) + p(i), the second
 over at most a few exact hits, found beforehand by binary search. Nothing is shuffled, and a repeated task gives the same.
@@ -33,13 +33,17 @@ HELD_IDS, RUN = 1 << 20, 1 << 16
 
 @dataclass(frozen=True)
 class Rules:
-    """Longest window; penalties in ids of padding: a cut at a sentence, elsewhere in a text, and each window."""
+    """Longest window; penalties in ids of padding: a cut at a sentence, elsewhere in a text, and each window.
+
+    shortest: the smallest power of two that is planned without padding; tiny windows are never aimed at.
+    """
 
     window: int = 2048
     cut: int = 8
     hard: int = 32
     each: int = 32
     grid: int = 64
+    shortest: int = 32
 
 
 class Marks:
@@ -94,14 +98,14 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, rules: Rules) -> list[int
     index = np.full(int(at[-1]) + 1, -1, dtype="i4")  # the boundary at each place
     index[at] = np.arange(len(at))
     to, of = [], []
-    size = 1
+    size = rules.shortest
     while size < rules.window:
         found = np.flatnonzero(at >= size)
         hit = index[at[found] - size]
         to.append(found[hit >= 0])
         of.append(hit[hit >= 0])
         size *= 2
-    to, of = np.concatenate(to), np.concatenate(of)
+    to, of = np.concatenate([*to, []]).astype(int), np.concatenate([*of, []]).astype(int)
     hits: dict[int, list[int]] = {}
     for j, i in zip(to.tolist(), of.tolist(), strict=True):
         hits.setdefault(j, []).append(i)

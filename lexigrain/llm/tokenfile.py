@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 
 from .bpe import byte_characters
 from .common import small_batches
-from .memo import ChunkMemo
+from .memo import ChunkMemo, mapped
 
 MAGIC = b"LGIDS001"
 HEAD = struct.Struct("<8sIIQQ")  # magic, bits, ids in a block, documents, ids
@@ -147,11 +147,10 @@ def _encoder(path: str) -> ChunkMemo:
         tokenizer = Tokenizer.from_file(path)
         if type(tokenizer.pre_tokenizer).__name__ != "ByteLevel" or tokenizer.pre_tokenizer.add_prefix_space or tokenizer.normalizer:
             raise ValueError("a byte-level tokenizer without a prefix space and a normalizer is needed")
-        model, mapping = tokenizer.model, dict(enumerate(byte_characters()))
+        tokenize, mapping = tokenizer.model.tokenize, dict(enumerate(byte_characters()))
 
         def merge(parts: list[str]) -> list[list[int]]:
-            mapped = [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(mapping) for p in parts]
-            return [[t.id for t in model.tokenize(m)] for m in mapped]
+            return [[t.id for t in tokenize(mapped(p, mapping))] for p in parts]
 
         _tokenizers[path] = ChunkMemo(regex.compile(public_tokenizers.PATTERN).findall, merge)
     return _tokenizers[path]

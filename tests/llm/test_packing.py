@@ -14,12 +14,16 @@ PATH = P.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.001"
 
 
+def padding(n, rules):
+    return 0 if n & (n - 1) == 0 and rules.shortest <= n <= rules.window else rules.window - n
+
+
 def cost(places, penalty, chosen, rules):
     total, begin = 0, 0
     for k in chosen:
         n = int(places[k]) - begin
         assert 0 < n <= rules.window
-        total += int(penalty[k]) + rules.each + (0 if n & (n - 1) == 0 else rules.window - n)
+        total += int(penalty[k]) + rules.each + padding(n, rules)
         begin = int(places[k])
     return total
 
@@ -29,7 +33,7 @@ def least(places, penalty, rules):
     at, best = [0, *places.tolist()], [0]
     for j in range(1, len(at)):
         steps = [(best[i], at[j] - at[i]) for i in range(j) if at[j] - at[i] <= rules.window]
-        best.append(min(f + (0 if n & (n - 1) == 0 else rules.window - n) for f, n in steps) + int(penalty[j - 1]) + rules.each)
+        best.append(min(f + padding(n, rules) for f, n in steps) + int(penalty[j - 1]) + rules.each)
     return best[-1]
 
 
@@ -37,7 +41,7 @@ def least(places, penalty, rules):
 def test_least_cost(window):
     rng = np.random.default_rng(window)
     for _ in range(60):
-        rules = packing.Rules(window=window, cut=int(rng.integers(0, 9)), hard=20, each=int(rng.integers(0, 5)), grid=5)
+        rules = packing.Rules(window=window, cut=int(rng.integers(0, 9)), hard=20, each=int(rng.integers(0, 5)), grid=5, shortest=int(rng.choice([1, 4, 16])))
         places = np.cumsum(rng.integers(1, 6, size=rng.integers(1, 80)))
         penalty = rng.choice([0, rules.cut, rules.hard], size=len(places))
         chosen = packing.best_cuts(places, penalty, rules)
