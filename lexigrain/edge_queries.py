@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as sc
 from .functions import text as tx
 from .operators import aggregates, cleaning, features, joins, labels, metrics, ranking, sampling
-from .plans import models
+from .plans import grids, models
 from .queries import BASE, CLEAN, LABELLED, LABELS3, SQL, STOP, TOKENS, _predictions, _weights, labelled, query
 from .sources import html as web
 from .sources import tables
@@ -236,17 +236,17 @@ def saved_model_predict(spark, sf_dir):
 
 @query()
 def stopword_ablation(spark, sf_dir):
-    """The best naive Bayes setting with stop words and without them, on the same validation rows; for the report only."""
+    """The best feature with stop words, tuned again without them, on the same validation rows; for the report only."""
     df = labelled(spark, sf_dir).select(F.col("row_id").alias("doc"), "label", "text")
-    df = df.withColumn("kept", tx.content_words(F.col("text"))).withColumn("removed", tx.content_words(F.col("text"), STOP))
     df = written(sampling.stratified_split(df, "label", "doc"), "ablation")
-    train, val, rows = df.where("split = 'train'"), df.where("split = 'val'"), []
-    for name in ("kept", "removed"):
-        terms = written(features.term_counts(train, "doc", name, 1, 1, min_df=2).select("term").distinct(), "terms")
-        weights = lambda part: features.term_counts(part, "doc", name).join(terms, "term", "left_semi").withColumnRenamed("tf", "w")  # noqa: B023, E731
-        best = models.choose(models.nb_candidates(train, val, weights))[0]
-        rows.append((name, str(best["params"]), best["macro_f1"], best["accuracy"]))
-    return spark.createDataFrame(rows, "stop_words string, params string, macro_f1 double, accuracy double")
+    found = []
+    for name, stop in (("kept", ()), ("removed", STOP)):
+        rows = written(df.withColumn("text", tx.content_words(F.col("text"), stop)), "words")
+        found.append(written(grids.nb_scores(grids.feature_tables(rows), rows).withColumn("stop_words", F.lit(name)), "scores"))
+    order = ["feature", "ngram", "min_df", "alpha", F.desc("fit_prior")]
+    first = F.broadcast(grids.best_of(found[0], ["stop_words"], *order).select(F.col("feature").alias("_f")))  # one row
+    both = found[0].unionByName(found[1]).join(first, F.col("feature") == F.col("_f"), "left_semi")
+    return grids.best_of(both, ["stop_words"], *order).select("stop_words", "feature", "ngram", "min_df", "alpha", "fit_prior", "accuracy", "macro_f1")
 
 
 @query("SELECT row_id, category, star FROM reviews WHERE category = 'fr' AND star = 2")

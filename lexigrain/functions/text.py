@@ -20,11 +20,15 @@ PHONE_MARK = "<phone>"
 
 
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition; null stays null."""
+def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def nfc(text: Column) -> Column:
+    """Canonical composition; null stays null. Only text with characters beyond ASCII is sent to Python."""
+    return F.coalesce(_composed(F.when(F.octet_length(text) != F.length(text), text)), text)
+
+
 @F.pandas_udf(StringType())
 def without_marks(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks."""

@@ -48,7 +48,7 @@ def funnel_counts(marked: DataFrame, steps: Sequence[str], counter: str = "step"
     """step, ord, dropped, remaining: each step's count among the rows that were still there."""
     spark = marked.sparkSession
     names = spark.createDataFrame([(k, s) for k, s in enumerate(["raw", *steps])], "ord int, step string")
-    counts = marked.groupBy(F.coalesce(counter, F.lit("passed")).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    counts = written(marked.groupBy(F.coalesce(counter, F.lit("passed")).alias("s")).agg(F.count(F.lit(1)).alias("n")), "steps")  # a row for each step; used twice
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     joined = names.join(counts, F.col("step") == F.col("s"), "left").crossJoin(F.broadcast(total))
     dropped = F.coalesce("n", F.lit(0))
@@ -61,8 +61,9 @@ def dedup_exact(df: DataFrame, key: str = "text_norm", label: str = "label_star"
 
     A single row stays. Of several, the first with the most frequent label stays; if the two most frequent labels are as
     frequent, all go. Null labels aren't counted, and a group of only null labels keeps its first row. Counts are summed before
-    the shuffle and the rows of a group never meet.
+    the shuffle and the rows of a group never meet. df is written first, as it is read twice.
     """
+    df = written(df, "keyed")
     counts = df.groupBy(F.col(key).alias("k"), F.col(label).alias("l")).agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("first"))
     votes = F.when(F.col("l").isNotNull(), F.col("n")).otherwise(0)
     groups = counts.groupBy("k").agg(

@@ -9,13 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LABELS
-from .sampling import bootstrap_slots
-
-
-#: Rows up to which resampled predictions are broadcast.
-BROADCAST_ROWS = 100_000
-#: Rows up to which each resample draws row numbers; beyond them it draws the counts of equal rows at once.
-INDEX_ROWS = 1_000_000
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -65,6 +58,22 @@ def second_rater_scores(df: DataFrame, rater: DataFrame, row: str, truth: str, m
     return scores(every, "_label", "_pred", ("model",)).select("model", "n", "accuracy", "macro_f1")
 
 
+def robustness(df: DataFrame, truth: str, preds: Sequence[str], row: str, rater: DataFrame, label: str, reference: str, gold: str = "gold", resamples: int = 2000, seed: int = 42) -> DataFrame:
+    """model, is_reference, macro_f1, ci95_low, ci95_high, rater_n, rater_accuracy, rater_macro_f1 of df's columns preds.
+
+    Each model against the truth, with the interval of bootstrap_f1, and against rater(row, label). A row named by gold
+    compares the truth itself with the rater; it is a reference and has no score and no interval.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("model"), F.col(p).alias("_p")) for p in preds]))
+    long = df.select(row, F.col(truth).alias("_truth"), pairs.alias("_m")).select(row, "_truth", "_m.model", "_m._p")
+    own = scores(long, "_truth", "_p", ("model",)).select("model", "macro_f1")
+    interval = bootstrap_f1(df, truth, preds, resamples, seed)
+    second = second_rater_scores(long, rater, row, "_truth", "model", "_p", label, gold)
+    second = second.select("model", F.col("n").alias("rater_n"), F.col("accuracy").alias("rater_accuracy"), F.col("macro_f1").alias("rater_macro_f1"))
+    out = second.join(own, "model", "full").join(interval, "model", "left")
+    return out.select("model", F.col("model").isin(reference, gold).alias("is_reference"), "macro_f1", "ci95_low", "ci95_high", "rater_n", "rater_accuracy", "rater_macro_f1")
+
+
 def beside(val: DataFrame, test: DataFrame, truth: str, pred: str, model: str) -> DataFrame:
     """model, val_macro_f1, test_macro_f1, test_accuracy: what models reach on two sets; null where one lacks a model."""
     v = scores(val, truth, pred, (model,)).select(F.col(model), F.col("macro_f1").alias("val_macro_f1"))
@@ -82,22 +91,15 @@ def confusion_rates(df: DataFrame, truth: str, pred: str, labels: Sequence[str]
     return full.join(rows, F.col("t") == F.col("r")).select("t", "p", "n", F.round(F.col("n") / F.greatest("total", F.lit(1)), 4).alias("rate"))
 
 
-def bootstrap_f1(df: DataFrame, row: str, truth: str, preds: Sequence[str], n: int, resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """model, ci95_low, ci95_high: percentiles of macro-F1 over paired resamples of rows numbered 0 .. n - 1.
+def bootstrap_f1(df: DataFrame, truth: str, preds: Sequence[str], resamples: int = 2000, seed: int = 42) -> DataFrame:
+    """model, ci95_low, ci95_high: percentiles of macro-F1 over paired resamples of df's rows, with replacement.
 
-    The draws join the predictions once; each resample is summed to a few counts for each model before it is scored.
-    Rows with the same truth and predictions are alike, so beyond INDEX_ROWS rows a resample is drawn as the counts of
-    these kinds of rows (multinomial, as drawing row numbers makes them), which costs the same at any n.
+    Rows with the same truth and predictions are alike, so a resample is the number of rows of each of these kinds:
+    multinomial, as drawing row after row makes them. That costs the same at any number of rows; resample b is drawn by
+    numpy's generator of (seed, b) from the kinds in the order of their labels.
     """
-    if n > INDEX_ROWS:
-        kinds = df.groupBy(F.col(truth).alias("_t"), *preds).agg(F.count(F.lit(1)).alias("n"))
-        return _percentiles(resampled_counts(kinds, resamples, seed), preds)
-    draws = bootstrap_slots(df.sparkSession, n, resamples, seed)
-    known = df.select(F.col(row).alias("_row"), F.col(truth).alias("_t"), *preds)
-    # Spark takes the draws for few rows and would broadcast them
-    known = F.broadcast(known) if n <= BROADCAST_ROWS else known.hint("shuffle_hash")
-    drawn = draws.join(known, F.col("row") == F.col("_row"))
-    return _percentiles(drawn.groupBy("b", "_t", *preds).agg(F.count(F.lit(1)).alias("n")), preds)
+    kinds = df.groupBy(F.col(truth).alias("_t"), *preds).agg(F.count(F.lit(1)).alias("n"))
+    return _percentiles(resampled_counts(kinds, resamples, seed), preds)
 
 
 def resampled_counts(kinds: DataFrame, resamples: int, seed: int) -> DataFrame:
@@ -105,9 +107,10 @@ def resampled_counts(kinds: DataFrame, resamples: int, seed: int) -> DataFrame:
 
     The driver gets kinds, a row for each combination of labels.
     """
-    rows = kinds.toPandas()
-    share = rows["n"].to_numpy() / max(int(rows["n"].sum()), 1)
+    labels = [c for c in kinds.columns if c != "n"]
+    rows = kinds.orderBy(*labels).toPandas()
     total = int(rows["n"].sum())
+    share = rows["n"].to_numpy() / max(total, 1)
 
     def draw(batches):
         for batch in batches:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as sc
 from .functions import text as tx
 from .operators import aggregates, cleaning, features, joins, labels, metrics, ranking, sampling
+from .operators.quantiles import exact_percentiles
 from .plans import grids, models, svm
 from .sources import html as web
 from .sources.reviews import load_reviews, table
@@ -481,17 +482,27 @@ def cohen_kappa(spark, sf_dir):
     return labels.agreement(labelled(spark, sf_dir), "label", "label_star")
 
 
-@query(LABELLED + f""",
-i AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS r, label, label_star, label_other FROM x), n AS (SELECT count(*) AS n FROM i),
-d AS (SELECT b, ('0x' || substr(md5('42|' || b || '|' || slot), 1, 8))::BIGINT % n AS r FROM n, range(2000) AS bb(b), range((SELECT n FROM n)) AS ss(slot)),
-f AS (SELECT b, model, l.label, coalesce(2.0::DOUBLE * count(*) FILTER (t = l.label AND p = l.label) / nullif(count(*) FILTER (t = l.label) + count(*) FILTER (p = l.label), 0), 0) AS f1
-      FROM (SELECT b, 'label_star' AS model, label AS t, label_star AS p FROM d JOIN i USING (r) UNION ALL SELECT b, 'label_other', label, label_other FROM d JOIN i USING (r)),
-           (SELECT names.label FROM {LABELS3}) l GROUP BY b, model, l.label),
-q AS (SELECT b, model, avg(f1) AS f1 FROM f GROUP BY b, model)
-SELECT model, round(quantile_cont(f1, 0.025), 4) AS ci95_low, round(quantile_cont(f1, 0.975), 4) AS ci95_high FROM q GROUP BY model""")
+@query()
 def bootstrap_ci(spark, sf_dir):
-    df = ranking.numbered(labelled(spark, sf_dir), "r", "row_id").withColumn("r", F.col("r") - 1)
-    return metrics.bootstrap_f1(df, "r", "label", ["label_star", "label_other"], df.count())
+    return metrics.bootstrap_f1(labelled(spark, sf_dir), "label", ["label_star", "label_other"])
+
+
+@query(REPORT + "\nSELECT model, round(avg(f1), 4) AS macro_f1, true AS inside, true AS narrow FROM c GROUP BY model")
+def bootstrap_covers(spark, sf_dir):
+    """Whether each model's score lies in its interval, and whether that is narrower than six deviations of a share."""
+    df = labelled(spark, sf_dir)
+    own = metrics.scores(_predictions(spark, sf_dir), "label", "pred", ("model",)).select("model", "n", "macro_f1")
+    both = own.join(metrics.bootstrap_f1(df, "label", ["label_star", "label_other"]), "model")
+    width = F.col("ci95_high") - F.col("ci95_low")
+    return both.select("model", "macro_f1", F.col("macro_f1").between(F.col("ci95_low"), F.col("ci95_high")).alias("inside"), (width < 3 / F.sqrt("n")).alias("narrow"))
+
+
+@query()
+def robustness_table(spark, sf_dir):
+    """Models with intervals, and beside a second rater, as one table."""
+    df = labelled(spark, sf_dir)
+    rater = df.select("row_id", F.when(F.col("row_id") % 3 > 0, F.col("label_other")).alias("rater"))
+    return metrics.robustness(df, "label", ["label_star", "label_other"], "row_id", rater, "rater", "label_other")
 
 
 @query(LABELLED + """,
@@ -693,16 +704,15 @@ def w2v_grid(spark, sf_dir):
     return grids.dense_scores(_word_vector_rows(spark, sf_dir), "vector", 200)
 
 
+SQL["best_configurations"] = f"SELECT * FROM ({SQL['nb_grid']}) QUALIFY row_number() OVER (PARTITION BY feature ORDER BY macro_f1 DESC, ngram, min_df, alpha, fit_prior DESC) = 1"
+
+
 @query()
 def best_configurations(spark, sf_dir):
-    """The best setting of each feature and classifier of the sparse grids; of equal ones the first in the grid's order."""
+    """The best naive Bayes setting of each feature; of equal ones the first in the grid's order."""
     rows = _split_rows(spark, sf_dir)
     weights = grids.feature_tables(rows)
-    nb = grids.best_of(grids.nb_scores(weights, rows), ["feature"], "ngram", "min_df", "alpha", F.desc("fit_prior"))
-    linear = grids.best_of(grids.svm_scores(weights, rows), ["feature"], "ngram", "min_df", "c")
-    params = lambda c: F.concat(*[x for n in c for x in (F.lit(f" {n} "), F.col(n).cast("string"))])
-    parts = [d.select("feature", F.lit(a).alias("algo"), F.ltrim(params(c)).alias("params"), "accuracy", "macro_f1") for d, a, c in ((nb, "NB", ("ngram", "min_df", "alpha", "fit_prior")), (linear, "SVM", ("ngram", "min_df", "c")))]
-    return parts[0].unionByName(parts[1])
+    return grids.best_of(grids.nb_scores(weights, rows), ["feature"], "ngram", "min_df", "alpha", F.desc("fit_prior"))
 
 
 @query("SELECT event_id, user_id, event_type FROM events", base=False)
@@ -780,9 +790,13 @@ def error_groups(spark, sf_dir):
 @query("""
 SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(median(value), 4) AS median_value, max(value) AS most, count(*) FILTER (value > 50) AS above FROM events GROUP BY event_type""", base=False)
 def event_summary(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.median("value"), 4).alias("median_value"), F.max("value").alias("most"), F.count_if(F.col("value") > 50).alias("above")
-    )
+    events = table(spark, sf_dir, "events").select("event_type", "user_id", "value")
+    sums = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"), F.count_if(F.col("value") > 50).alias("above"))
+    users = events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("c")).groupBy("event_type").agg(F.count("user_id").alias("users"))
+    medians = exact_percentiles(events, "event_type", "value", (0.5,)).select("event_type", F.round(F.get("q", F.lit(0)), 4).alias("median_value"))
+    keys = lambda d, n: d.withColumnRenamed("event_type", n)
+    out = sums.join(keys(users, "_u"), F.col("event_type").eqNullSafe(F.col("_u"))).join(keys(medians, "_m"), F.col("event_type").eqNullSafe(F.col("_m")))
+    return out.select("event_type", "n", "users", "median_value", "most", "above")
 
 
 @query("""SELECT l_returnflag, '{"flag":"' || l_returnflag || '","status":"' || l_linestatus || '"}' AS params, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus""", base=False)
