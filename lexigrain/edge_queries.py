@@ -89,7 +89,7 @@ def sitemap_products(spark, sf_dir):
 
 
 def _review_pages(spark, sf_dir):
-    """A review page for each review, in the shop's markup."""
+    """A review page for each review, in the shop's markup: its classes and ids are fixed values."""
     c, lit = F.col, F.lit
     html = F.concat(
         lit("<html><head><title>"), (c("row_id") % 90 + 1).cast("string"), lit(" đánh giá</title></head><body><div class=\"point-average-score\">"), c("star").cast("string"), lit(","),
