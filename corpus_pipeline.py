@@ -17,7 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the rules nor their host's verdict reject."""
+    """Documents that neither the rules nor their host's verdict reject; each row is judged, repeated ones alike."""
     return quality.judge(docs, keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
@@ -42,12 +42,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents that tie at the cut are taken together."""
+    """Each document as often as the mix takes it; of rows equal in doc_id, source and text one comes for all."""
     return mixing.mixed_documents(docs.select(*COLUMNS))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the digests of ids and decoded bytes of each row."""
+    """doc_id, n_tokens, ids and the digests of ids and decoded bytes of each row; repeated rows give repeated rows."""
     return bpe.round_trip(docs, public_tokenizers.path(bpe.DEFAULT_RANKS), public_tokenizers.PATTERN, with_ids=True)
 
 
