@@ -23,10 +23,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A record for each page, read back: page_id, payload_bytes, payload_digest, record_type, refers_to. Null html counts as empty."""
-    path = scratch(spark, "warc")
-    warc.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc.read_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """A WARC record for each page, rebuilt from the archive, written and parsed: page_id, payload_bytes, payload_digest, record_type, refers_to. Null html counts as empty."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

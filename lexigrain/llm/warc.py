@@ -7,7 +7,9 @@ SHA-1 that WARC headers name. Readers compute both digests anew from the stored
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 import uuid
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -18,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import join_hot, scratch, small_batches, written
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: WARC-Date of records made here: rows have no fetch time, and reruns give the same bytes.
@@ -188,3 +190,83 @@ def parse_warc(f: BinaryIO) -> Iterator[tuple[bytes, bytes]]:
             if len(block) < size:
                 raise EOFError("the file ends within a record")
             yield b"".join(head), block
+
+
+RECORD = pa.schema(
+    [(c, pa.string()) for c in ("record_id", "record_type", "target_uri", "payload_digest", "refers_id")] + [(c, pa.int64()) for c in ("page_id", "said_bytes", "payload_bytes")]
+)
+
+
+def _facts(head: bytes, block: bytes) -> dict:
+    """What one parsed record says; a response whose payload differs from its digest or length is an error."""
+    lines = [x.split(b":", 1) for x in head.split(b"\r\n") if b":" in x]
+    named = {k.decode().lower(): v.strip().decode() for k, v in lines}
+    http, _, payload = block.partition(b"\r\n\r\n")
+    said = next((int(x.split(b":", 1)[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+    digest, is_response = named.get("warc-payload-digest", "").removeprefix("sha1:"), named["warc-type"] == "response"
+    if is_response and (len(payload) != said or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+        raise ValueError(f"the payload of {named['warc-record-id']} differs from its header")
+    return {
+        "record_id": named["warc-record-id"], "record_type": named["warc-type"], "target_uri": named.get("warc-target-uri"), "payload_digest": digest, "refers_id": named.get("warc-refers-to"),
+        "page_id": int(named["x-page-id"]) if "x-page-id" in named else None, "said_bytes": said, "payload_bytes": len(payload) if is_response else None,
+    }
+
+
+def read_warc(spark: SparkSession, out: str) -> DataFrame:
+    """The facts of each record in the files of export_warc (columns of RECORD), a record at a time: a task for each file.
+
+    Length and SHA-1 are of the bytes found behind a response's headers. A file with more or fewer records than its
+    manifest says is an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = pa.fs.FileSystem.from_uri(out)
+        for b in batches:
+            for name, n in zip(b.column("name").to_pylist(), b.column("n_records").to_pylist(), strict=True):
+                with fs.open_input_file(f"{at}/{name}") as f:
+                    rows, seen = [], 0
+                    for head, block in parse_warc(f):
+                        rows.append(_facts(head, block))
+                        seen += 1
+                        if len(rows) == 4000:
+                            yield pa.RecordBatch.from_pylist(rows, RECORD)
+                            rows = []
+                    if seen != n:
+                        raise ValueError(f"{name} has {seen} records, its manifest says {n}")
+                    yield pa.RecordBatch.from_pylist(rows, RECORD)
+
+    files = spark.read.parquet(f"{out}/manifest")
+    return files.repartition(max(1, files.count())).mapInArrow(
+        run, "record_id string, record_type string, target_uri string, payload_digest string, refers_id string, page_id long, said_bytes long, payload_bytes long"
+    )
+
+
+def warc_index(records: DataFrame) -> DataFrame:
+    """page_id, record_id, record_type, target_uri, payload_digest, payload_bytes, refers_to of read_warc's records.
+
+    A revisit takes payload_bytes and refers_to from the response that it names; without one, or with another digest or
+    length there, it is an error. Revisits are counted by response first, so a page with very many copies isn't one task.
+    """
+    records = written(records, "parsed")
+    revisits = records.where("record_type = 'revisit'")
+    counts = revisits.groupBy(F.col("refers_id").alias("r_id")).agg(F.count(F.lit(1)).alias("n_revisits"))
+    found = records.where("record_type = 'response'").select("record_id", F.col("page_id").alias("r_page"), F.col("payload_digest").alias("r_digest"), F.col("payload_bytes").alias("r_bytes"))
+    named = counts.join(found, F.col("r_id") == F.col("record_id"), "left").drop("record_id")
+    joined = join_hot(revisits, named, "refers_id", "r_id", "n_revisits", "named", how="left")
+    good = (F.col("r_digest") == F.col("payload_digest")) & (F.col("r_bytes") == F.col("said_bytes"))
+    bad = F.raise_error(F.concat(F.lit("no such payload for "), "record_id")).cast("long")
+    size, cols = F.when(F.coalesce(good, F.lit(False)), F.col("r_bytes")).otherwise(bad), ["page_id", "record_id", "record_type", "target_uri", "payload_digest"]
+    others = records.where("record_type <> 'revisit'").select(*cols, "payload_bytes", F.lit(None).cast("long").alias("refers_to"))
+    return others.unionByName(joined.select(*cols, size.alias("payload_bytes"), F.col("r_page").alias("refers_to")))
+
+
+def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
+    """warc_index of pages(page_id, url, html): archived by content, rebuilt by joins, written as WARC files, parsed again.
+
+    See record_table for null html, repeated rows and ties. Null page_ids have records of their own, without an X-Page-ID.
+    """
+    spark = pages.sparkSession
+    archive, files = scratch(spark, "warc"), scratch(spark, "warc-files")
+    write_archive(pages, archive, min_revisit_bytes)
+    export_warc(spark, archive, files)
+    return warc_index(read_warc(spark, files))
