@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..storage import written
 
 #: Letters that only the language has, common words typed without marks, phrases of the shop's staff.
@@ -90,6 +89,26 @@ def tfidf_vectors(df: DataFrame, doc: str, tokens: Column, sublinear: bool = Fal
 PREFIX_ROWS = 2_000
 
 
+def prefixes(vectors: DataFrame, above: float) -> DataFrame:
+    """doc, term, w, after, cut, tail of the terms, rare ones first, that a near vector must share one of."""
+    order = Window.partitionBy("doc").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
+    square = F.col("w") * F.col("w")
+    prefix = vectors.withColumn("rest", F.sum(square).over(order)).where(F.col("rest") >= above * above - 1e-9)
+    whole = Window.partitionBy("doc")
+    prefix = prefix.select(
+        "doc", "term", "df", "w", (F.col("rest") - square).alias("after"), F.max(F.struct("df", "term")).over(whole).alias("cut"), F.min(F.col("rest") - square).over(whole).alias("tail")
+    ).where("df > 1").drop("df")
+    return prefix
+
+
+def cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """i, j, cosine of pairs (i, j) of unit vectors (doc, term, w); pairs without a common term have no row."""
+    a = vectors.select(F.col("doc").alias("da"), F.col("term").alias("ta"), F.col("w").alias("wa"))
+    b = vectors.select(F.col("doc").alias("db"), F.col("term").alias("tb"), F.col("w").alias("wb"))
+    dots = pairs.join(a, F.col("i") == F.col("da")).join(b, (F.col("j") == F.col("db")) & (F.col("ta") == F.col("tb")))
+    return dots.groupBy("i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+
+
 def near_pairs(vectors: DataFrame, above: float = 0.9) -> DataFrame:
     """i, j, cosine of each pair i < j of unit vectors (doc, term, df, w) with a cosine above the bound.
 
@@ -99,13 +118,7 @@ def near_pairs(vectors: DataFrame, above: float = 0.9) -> DataFrame:
     bound its cosine; whole vectors are joined for the few pairs that the bound leaves. A term of very many prefixes is
     dealt to parts, each with one part of its rows against all.
     """
-    order = Window.partitionBy("doc").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
-    square = F.col("w") * F.col("w")
-    prefix = vectors.withColumn("rest", F.sum(square).over(order)).where(F.col("rest") >= above * above - 1e-9)
-    whole = Window.partitionBy("doc")
-    prefix = prefix.select(
-        "doc", "term", "df", "w", (F.col("rest") - square).alias("after"), F.max(F.struct("df", "term")).over(whole).alias("cut"), F.min(F.col("rest") - square).over(whole).alias("tail")
-    ).where("df > 1").drop("df")
+    prefix = prefixes(vectors, above)
     prefix = written(prefix, "prefixes")
     sizes = written(prefix.groupBy(F.col("term").alias("_t")).agg(F.count(F.lit(1)).alias("_n")), "terms")
     # at most 100,000 terms can hold more than one in 100,000 of the rows
@@ -120,10 +133,7 @@ def near_pairs(vectors: DataFrame, above: float = 0.9) -> DataFrame:
     near = met.groupBy("doci", "docj").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"), F.min("afteri").alias("ai"), F.min("afterj").alias("aj"), *first)
     follow = F.when(F.col("cuti") <= F.col("cutj"), F.col("taili") * F.col("aj")).otherwise(F.col("ai") * F.col("tailj"))
     pairs = near.where(F.col("dot") + F.sqrt(F.greatest(follow, F.lit(0.0))) > above - 1e-9).select(F.col("doci").alias("i"), F.col("docj").alias("j"))
-    a = vectors.select(F.col("doc").alias("da"), F.col("term").alias("ta"), F.col("w").alias("wa"))
-    b = vectors.select(F.col("doc").alias("db"), F.col("term").alias("tb"), F.col("w").alias("wb"))
-    dots = pairs.join(a, F.col("i") == F.col("da")).join(b, (F.col("j") == F.col("db")) & (F.col("ta") == F.col("tb")))
-    return dots.groupBy("i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") > above)
+    return cosines(pairs, vectors).where(F.col("cosine") > above)
 
 
 def greedy_removal(pairs: DataFrame) -> DataFrame:
@@ -146,14 +156,6 @@ def greedy_removal(pairs: DataFrame) -> DataFrame:
     return alive.groupBy("j").agg(F.min(F.struct("i", "cosine")).alias("m")).select("j", "m.i", F.round("m.cosine", 3).alias("cosine"))
 
 
-def dedup_near(df: DataFrame, row: str = "row_id", key: str = "text_norm", above: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """df without rows near an earlier kept one (TF-IDF cosine of words), and what was removed: j, i, cosine."""
-    words = F.regexp_extract_all(F.coalesce(key, F.lit("")), F.lit(f"[{tx.WORD}]+"), F.lit(0))
-    vectors = written(tfidf_vectors(df, row, F.transform(words, lambda t: F.lower(t))), "tfidf")
-    removed = written(greedy_removal(near_pairs(vectors, above)), "removed")
-    return df.join(removed.select(F.col("j").alias("_gone")), F.col(row) == F.col("_gone"), "left_anti"), removed
-
-
 def first_by_key(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
     """The first row of each key in the given order."""
     w = Window.partitionBy(key).orderBy(*order)

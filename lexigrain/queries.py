@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as sc
 from .functions import text as tx
-from .operators import aggregates, cleaning, features, joins, labels, metrics, ranking, sampling
+from .operators import aggregates, cleaning, features, joins, labels, metrics, neargroups, ranking, sampling
 from .operators.quantiles import exact_percentiles
 from .plans import grids, models, svm
 from .sources import html as web
@@ -135,7 +135,14 @@ def near_dup_pairs(spark, sf_dir):
 
 @query()
 def near_dup_greedy(spark, sf_dir):
-    return cleaning.dedup_near(_unique_texts(spark, sf_dir))[1]
+    return neargroups.dedup_near(_unique_texts(spark, sf_dir))[1]
+
+
+@query(VECTORS + "\nSELECT row_id, count(*) AS n_near FROM (SELECT i AS row_id FROM p UNION ALL SELECT j FROM p) GROUP BY row_id")
+def near_dup_links(spark, sf_dir):
+    """How many other texts are near each text: groups of copies are counted, not listed as pairs."""
+    found = neargroups.near_groups(neargroups.word_vectors(_unique_texts(spark, sf_dir)))
+    return neargroups.link_counts(found).select(F.col("doc").alias("row_id"), "n_near")
 
 
 @query(f"""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrain.operators import cleaning
+from lexigrain.operators import cleaning, neargroups
 
 
 def test_language_and_staff(spark):
@@ -67,7 +67,7 @@ def test_dedup_near_is_the_greedy_scan(spark, monkeypatch, seed, rows):
     x = tf * idf
     x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
     df = spark.createDataFrame(list(enumerate(texts)), "row_id int, text_norm string")
-    kept, removed = cleaning.dedup_near(df, above=0.8)
+    kept, removed = neargroups.dedup_near(df, above=0.8)
     want = greedy(x, 0.8)
     assert {r["j"]: r["i"] for r in removed.collect()} == want and want
     assert {r["row_id"] for r in kept.collect()} == set(range(len(texts))) - set(want)
