@@ -95,10 +95,9 @@ def prefixes(vectors: DataFrame, above: float) -> DataFrame:
     square = F.col("w") * F.col("w")
     prefix = vectors.withColumn("rest", F.sum(square).over(order)).where(F.col("rest") >= above * above - 1e-9)
     whole = Window.partitionBy("doc")
-    prefix = prefix.select(
+    return prefix.select(
         "doc", "term", "df", "w", (F.col("rest") - square).alias("after"), F.max(F.struct("df", "term")).over(whole).alias("cut"), F.min(F.col("rest") - square).over(whole).alias("tail")
     ).where("df > 1").drop("df")
-    return prefix
 
 
 def cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -109,17 +108,18 @@ def cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return dots.groupBy("i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
 
 
-def near_pairs(vectors: DataFrame, above: float = 0.9) -> DataFrame:
+def near_pairs(vectors: DataFrame, above: float = 0.9, prefix: DataFrame | None = None) -> DataFrame:
     """i, j, cosine of each pair i < j of unit vectors (doc, term, df, w) with a cosine above the bound.
 
     Exact, by prefixes: terms from rare to frequent, a vector's prefix ends where the norm of the rest is under the bound,
     so a pair above it shares a term of both prefixes. Only these rare terms are joined. A candidate's products so far and
     the norms of what may follow its last shared term (in the vector whose prefix ends first: of what follows the prefix)
     bound its cosine; whole vectors are joined for the few pairs that the bound leaves. A term of very many prefixes is
-    dealt to parts, each with one part of its rows against all.
+    dealt to parts, each with one part of its rows against all. A written table of prefixes, or of some rows' prefixes, may
+    be given: only these rows are paired then.
     """
-    prefix = prefixes(vectors, above)
-    prefix = written(prefix, "prefixes")
+    if prefix is None:
+        prefix = written(prefixes(vectors, above), "prefixes")
     sizes = written(prefix.groupBy(F.col("term").alias("_t")).agg(F.count(F.lit(1)).alias("_n")), "terms")
     # at most 100,000 terms can hold more than one in 100,000 of the rows
     most = max(PREFIX_ROWS, sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0] // 100_000)

@@ -83,11 +83,10 @@ def near_groups(vectors: DataFrame, above: float = 0.9) -> NearGroups:
     vectors = vectors.where("doc IS NOT NULL")
     members = tight_groups(vectors, above)
     radii = written(members.groupBy(F.col("grp").alias("r_grp")).agg(F.max("a").alias("r")), "radii")
-    single = vectors.join(members.select(F.col("doc").alias("_d")), F.col("doc") == F.col("_d"), "left_anti")
-    listed = cleaning.near_pairs(single, above)
-
-    prefix = cleaning.prefixes(vectors, above).select("doc", "term").join(members.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d"), "left")
-    prefix = written(prefix.select("doc", "term", F.coalesce("grp", "doc").alias("g"), F.coalesce("a", F.lit(0.0)).alias("a"), F.col("grp").isNotNull().alias("many")), "placed")
+    placed = cleaning.prefixes(vectors, above).join(members.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d"), "left").drop("_d")
+    placed = written(placed, "placed")
+    listed = cleaning.near_pairs(vectors, above, placed.where("grp IS NULL").drop("grp", "a"))
+    prefix = placed.select("doc", "term", F.coalesce("grp", "doc").alias("g"), F.coalesce("a", F.lit(0.0)).alias("a"), F.col("grp").isNotNull().alias("many"))
     met = written(_candidates(prefix.select("term", "g", "many").distinct()), "met")
     apart = met.join(cleaning.cosines(met, vectors).withColumnsRenamed({"i": "_i", "j": "_j"}), (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")), "left")
     apart = apart.select("i", "j", _angle(F.coalesce("cosine", F.lit(0.0))).alias("apart"))
