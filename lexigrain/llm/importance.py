@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, written
 
 BUCKETS = 10_000
+#: Cells from which a block is full, and blocks of a file: Parquet's readers and writers hold a file's blocks at once.
+CELLS, BLOCKS_PER_FILE = 1 << 14, 128
 #: Bytes of a text that are split at once; words that a worker remembers.
 SLICE, REMEMBERED = 1 << 20, 300_000
 #: The bytes that separate words; A-Z become a-z.
@@ -89,29 +91,39 @@ BLOCK_TYPE = "part int, seq int, doc_id array<long>, n_words array<long>, indptr
 def count_matrix(docs: DataFrame, doc: str | None, text: str, low: int = 1, high: int = 1, buckets: int = BUCKETS) -> DataFrame:
     """docs as a table of blocks of compressed sparse rows, written: row k has the buckets indptr[k] to indptr[k + 1].
 
-    A block holds the documents of an Arrow batch. (part, seq) names it. Null text has no words.
+    A block ends with the document that brings it to CELLS cells, whatever the batches, and a file has few blocks, so what a
+    task holds doesn't grow with its rows. (part, seq) names a block. Null text has no words.
     """
 
+    def block(part: int, seq: int, docs: list, rows: list[tuple]) -> pa.RecordBatch:
+        columns = [
+            pa.array([part], pa.int32()),
+            pa.array([seq], pa.int32()),
+            pa.array([docs], pa.list_(pa.int64())),
+            pa.array([[n for _, _, n in rows]], pa.list_(pa.int64())),
+            pa.array([np.cumsum([0, *(len(x) for x, _, _ in rows)])], pa.list_(pa.int32())),
+            pa.array([np.concatenate([x for x, _, _ in rows])], pa.list_(pa.int32())),
+            pa.array([np.concatenate([c for _, c, _ in rows])], pa.list_(pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=BLOCKS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, part = Buckets(low, high, buckets), TaskContext.get().partitionId()
-        for seq, b in enumerate(batches):
-            rows = [features.counts(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column("text").cast(pa.binary())]
-            if not rows:
-                continue
-            columns = [
-                pa.array([part], pa.int32()),
-                pa.array([seq], pa.int32()),
-                pa.array([b.column("doc").to_pylist()], pa.list_(pa.int64())),
-                pa.array([[n for _, _, n in rows]], pa.list_(pa.int64())),
-                pa.array([np.cumsum([0, *(len(x) for x, _, _ in rows)])], pa.list_(pa.int32())),
-                pa.array([np.concatenate([x for x, _, _ in rows])], pa.list_(pa.int32())),
-                pa.array([np.concatenate([c for _, c, _ in rows])], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, schema=BLOCKS)
+        seq, ids, rows, held = 0, [], [], 0
+        for b in batches:
+            for doc, t in zip(b.column("doc").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
+                ids.append(doc)
+                rows.append(features.counts(t.as_buffer().to_pybytes() if t.is_valid else b""))
+                held += len(rows[-1][0]) + 1
+                if held >= CELLS:
+                    yield block(part, seq, ids, rows)
+                    seq, ids, rows, held = seq + 1, [], [], 0
+        if rows:
+            yield block(part, seq, ids, rows)
 
     small_batches(docs.sparkSession)
     slim = docs.select((F.col(doc) if doc else F.lit(None)).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    return written(slim.mapInArrow(run, BLOCK_TYPE), "counts")
+    return written(slim.mapInArrow(run, BLOCK_TYPE), "counts", BLOCKS_PER_FILE)
 
 
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> DataFrame:

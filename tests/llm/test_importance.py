@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexigrain.llm import importance
 
@@ -97,3 +98,15 @@ def test_equal_rows_get_different_ranks(spark):
     got = importance.resample(docs, docs.select("text").limit(3), least=1, percent=50).toPandas()
     assert sorted(got["rank"].dropna().astype(int)) == list(range(1, 2501))
     assert np.isnan(got["rank"]).sum() == 2500
+
+
+def test_blocks_are_bounded_whatever_the_batches(spark, monkeypatch):
+    """A block ends at CELLS cells and a file after BLOCKS_PER_FILE blocks, so no task holds a batch's or a file's cells at once."""
+    docs = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id")) for k in range(20)]).alias("text"))
+    monkeypatch.setattr(importance, "CELLS", 100)
+    monkeypatch.setattr(importance, "BLOCKS_PER_FILE", 4)
+    matrix = importance.count_matrix(docs, "doc_id", "text")
+    blocks = matrix.withColumn("file", F.input_file_name()).collect()
+    assert sorted(d for b in blocks for d in b["doc_id"]) == list(range(300)) and all(len(b["bucket"]) <= 120 for b in blocks)
+    assert max(sum(b["file"] == f for b in blocks) for f in {b["file"] for b in blocks}) <= 4
+    assert len({(b["part"], b["seq"]) for b in blocks}) == len(blocks) and sum(importance.column_sums(matrix).toPandas()["n"]) == 300 * 20
