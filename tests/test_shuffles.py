@@ -1,8 +1,9 @@
 """Steps whose shuffles once grew beyond what the input needs: results on odd rows, and how often rows are exchanged."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from lexigrain.operators import features
+from lexigrain.operators import features, metrics, sampling
 
 
 def exchanges(df):
@@ -20,3 +21,23 @@ def test_ngrams_are_shuffled_once_by_term_and_once_by_document(spark):
     }
     assert exchanges(features.term_counts(rows, "doc", "text", 1, 2, min_df=2)) == 2  # texts by document, n-grams by term
     assert exchanges(features.weighted(counts, rows.agg(F.count(F.lit(1)).alias("n")))) == 3
+
+
+def test_bootstrap_draws_every_row_of_every_resample(spark, monkeypatch):
+    """As many draws as rows and resamples, joined by broadcast or shuffle alike."""
+    rows = [(k, ["Negative", "Neutral", "Positive"][k % 3], None if k % 7 == 0 else ["Negative", "Positive"][k % 2]) for k in range(40)]
+    df = spark.createDataFrame(rows, "r long, label string, p string")
+    slots = [(s["b"], s["row"]) for s in sampling.bootstrap_slots(spark, 40, 30).collect()]
+    assert len(slots) == 1200
+    f1 = []
+    for b in range(30):
+        drawn, per = [rows[r] for k, r in slots if k == b], []
+        for x in ("Negative", "Neutral", "Positive"):
+            both = sum(t == x for _, t, _ in drawn) + sum(p == x for _, _, p in drawn)
+            per.append(2 * sum(t == p == x for _, t, p in drawn) / both if both else 0.0)
+        f1.append(sum(per) / 3)
+    want = tuple(round(float(x), 4) for x in np.percentile(f1, [2.5, 97.5]))
+    for most in (1 << 21, 0):
+        monkeypatch.setattr(metrics, "DRAW_ROWS", most)
+        got = metrics.bootstrap_rows(df, "r", "label", ["p"], 30).first()
+        assert (got["ci95_low"], got["ci95_high"]) == want
