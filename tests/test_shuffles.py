@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lexigrain.operators import features, metrics, sampling
+from lexigrain.plans import grids
 
 
 def exchanges(df):
@@ -41,3 +42,11 @@ def test_bootstrap_draws_every_row_of_every_resample(spark, monkeypatch):
         monkeypatch.setattr(metrics, "DRAW_ROWS", most)
         got = metrics.bootstrap_rows(df, "r", "label", ["p"], 30).first()
         assert (got["ci95_low"], got["ci95_high"]) == want
+
+
+def test_grid_tables_share_one_row_for_each_document_and_term(spark):
+    rows = spark.createDataFrame([(1, "train", "p", "a b a"), (2, "train", "n", "a c"), (3, "val", "p", "b a z")], "doc long, split string, label string, text string")
+    wide = {(r["doc"], r["term"]): r["w"] for r in grids.wide_tables(rows).collect()}
+    assert set(wide) == {(1, "a"), (1, "b"), (1, "a b"), (1, "b a"), (2, "a"), (2, "c"), (2, "a c"), (3, "b"), (3, "a"), (3, "b a")}
+    assert wide[1, "a"][:4] == [2.0] * 4 and wide[1, "b"][:4] == [1.0, None, 1.0, None] and wide[1, "a b"][:4] == [None, None, 1.0, None]
+    assert all(abs(sum(w[4] ** 2 for (d, _), w in wide.items() if d == doc) - 1) < 1e-9 for doc in (1, 2, 3))
