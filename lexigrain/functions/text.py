@@ -91,11 +91,16 @@ def _tone_moves() -> list[tuple[str, str]]:
     return moves + [("(?<![qQ])u" + join("y", t) + open_, join("u", t) + "y") for t in tones]
 
 
+#: What every pattern of _tone_moves() begins with.
+_OLD_TONES = "o[àáảãạèéẻẽẹ]|u[ỳýỷỹỵ]"
+
+
 def normalized(text: Column) -> Column:
     """NFC, new tone places (lower case only), letters repeated three times or more and repeated marks once."""
-    t = nfc(text)
+    t, moved = nfc(text), nfc(text)
     for old, new in _tone_moves():
-        t = F.regexp_replace(t, old, new)
+        moved = F.regexp_replace(moved, old, new)
+    t = F.when(t.rlike(_OLD_TONES), moved).otherwise(t)  # few texts have any
     t = F.regexp_replace(t, "(\\p{L})\\1{2,}", "$1")
     return F.regexp_replace(t, f"(?U)([^{WORD}\\s])\\1+", "$1")
 
@@ -119,10 +124,15 @@ def corrector(mapping: Mapping[str, str]) -> Callable[[Column], Column]:
 def joined_compounds(phrases: Collection[str], longest: int = 4) -> Callable[[Column], Column]:
     """A segmenter: the longest phrase of the list at each place becomes one token, its words joined by underscores."""
     known = {tuple(p.lower().split()) for p in phrases}
+    firsts = {p[0] for p in known if p}  # most words begin no phrase and are looked up once
 
     def segment(text: str) -> str:
         words, out, i = text.split(), [], 0
         while i < len(words):
+            if words[i].lower() not in firsts:
+                out.append(words[i])
+                i += 1
+                continue
             n = next((n for n in range(min(longest, len(words) - i), 1, -1) if tuple(w.lower() for w in words[i : i + n]) in known), 1)
             out.append("_".join(words[i : i + n]))
             i += n
@@ -152,13 +162,22 @@ def content_words(segmented: Column, stop: Collection[str] = (), keep: Collectio
 
 def model_text(text: Column, correct=None, segment=None, stop: Collection[str] = (), keep: Collection[str] = ()) -> Column:
     """Text for bag-of-words models: cleaned, normalised, lower case, corrected, segmented, content words only."""
-    t = F.lower(normalized(cleaned(nfc(F.coalesce(text, F.lit(""))))))
+    return words_text(normalized(cleaned(nfc(F.coalesce(text, F.lit(""))))), correct, segment, stop, keep)
+
+
+def words_text(plain: Column, correct=None, segment=None, stop: Collection[str] = (), keep: Collection[str] = ()) -> Column:
+    """model_text() of a text that is cleaned and normalised."""
+    t = F.lower(plain)
     t = correct(t) if correct else t
     return content_words(segment(t) if segment else t, stop, keep)
 
 
 def sequence_text(text: Column, correct=None, segment=None) -> Column:
     """Text for sequence models: cleaned, normalised, corrected and segmented, case, marks and stop words kept."""
-    t = normalized(cleaned(nfc(F.coalesce(text, F.lit("")))))
-    t = correct(t) if correct else t
+    return running_text(normalized(cleaned(nfc(F.coalesce(text, F.lit(""))))), correct, segment)
+
+
+def running_text(plain: Column, correct=None, segment=None) -> Column:
+    """sequence_text() of a text that is cleaned and normalised."""
+    t = correct(plain) if correct else plain
     return segment(t) if segment else t

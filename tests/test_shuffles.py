@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from lexigrain.functions import text as tx
 from lexigrain.operators import features, metrics, sampling
 from lexigrain.plans import grids
 
@@ -50,3 +51,15 @@ def test_grid_tables_share_one_row_for_each_document_and_term(spark):
     assert set(wide) == {(1, "a"), (1, "b"), (1, "a b"), (1, "b a"), (2, "a"), (2, "c"), (2, "a c"), (3, "b"), (3, "a"), (3, "b a")}
     assert wide[1, "a"][:4] == [2.0] * 4 and wide[1, "b"][:4] == [1.0, None, 1.0, None] and wide[1, "a b"][:4] == [None, None, 1.0, None]
     assert all(abs(sum(w[4] ** 2 for (d, _), w in wide.items() if d == doc) - 1) < 1e-9 for doc in (1, 2, 3))
+
+
+def test_shared_steps_give_the_same_texts(spark):
+    """A text cleaned and normalised once gives what each function gives alone; texts with and without old tone places."""
+    texts = ["Hoà oẻ tuỳ quý Of The  IN THE of", "plain of the words sp!!!", "hoà thuý of the", None, "", "of", "in the of the end goooood"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    correct, join, t = tx.corrector({"sp": "sản phẩm"}), tx.joined_compounds(["of the", "in the"]), F.col("text")
+    plain = tx.normalized(tx.cleaned(tx.nfc(F.coalesce("text", F.lit("")))))
+    both = df.select("k", plain.alias("p"), tx.model_text(t, correct, join, ("end",)).alias("m"), tx.sequence_text(t, correct, join).alias("s"))
+    got = both.select("k", "p", "m", "s", tx.words_text(F.col("p"), correct, join, ("end",)).alias("m2"), tx.running_text(F.col("p"), correct, join).alias("s2")).orderBy("k").collect()
+    assert all((r["m"], r["s"]) == (r["m2"], r["s2"]) for r in got)
+    assert got[0]["s"] == "Hòa ỏe tùy quý Of_The IN_THE of" and got[2]["s"] == "hòa thúy of_the" and got[6]["s"] == "in_the of_the end god"
