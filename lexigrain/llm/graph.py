@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, discard, join_hot, written
 
+#: Edges that one task may contract: a row for each end at most fits a broadcast.
+CONTRACTED_ROWS = BROADCAST_ROWS // 2
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """u, v: each node of a few edges (u, v) and the smallest node of its component, found in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([b.column(c).to_numpy() for c in "uv"]) for b in batches]
+        if held:
+            nodes, at = np.unique(np.concatenate(held, 1), return_inverse=True)
+            u, v = at.reshape(2, -1)
+            root = forest(len(nodes), u, v)
+            moved = np.flatnonzero(root != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["u", "v"])
 
-def _stars(edges: DataFrame, few: bool) -> DataFrame:
-    """One large-star and one small-star step over distinct edges (u, v) with u > v; few: all fit a broadcast."""
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "u long, v long")
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step over distinct edges (u, v) with u > v."""
 
     def joined(rows: DataFrame, low: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(low), F.col("u") == F.col("k")) if few else join_hot(rows, low, "u", "k", "n", "low")
+        return join_hot(rows, low, "u", "k", "n", "low")
 
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
@@ -27,7 +48,8 @@ def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node of its component) for each node of links(a, b), two longs.
 
     Nulls and links from a node to itself are left out; a node without another link has no row. The number of steps
-    grows with the logarithm of the longest path; every step is a table in the shared folder.
+    grows with the logarithm of the longest path; every step is a table in the shared folder. Steps of few edges would
+    take as many tasks as those of many, so up to CONTRACTED_ROWS edges are contracted at once.
     """
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = written(pairs, "links"), None
@@ -35,9 +57,11 @@ def components(links: DataFrame) -> DataFrame:
         mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if mark == before or not mark[0]:
             break
-        done, before = edges, mark
-        edges = written(_stars(edges, 2 * mark[0] <= BROADCAST_ROWS), "links")  # a row for each end at most
+        done, before, few = edges, mark, mark[0] <= CONTRACTED_ROWS
+        edges = written(_contracted(edges) if few else _stars(edges), "links")
         discard(done)
+        if few:
+            break
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

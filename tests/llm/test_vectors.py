@@ -33,6 +33,19 @@ def test_components(spark, seed):
     assert graph.forest(400, i, j).tolist() == want
 
 
+@pytest.mark.parametrize("at_once", [True, False])
+def test_few_links_take_two_tables(spark, monkeypatch, at_once):
+    """A path of 500 nodes in many partitions: steps of few edges don't each take a table and its tasks."""
+    tables, f = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name, *a: tables.append(name) or f(df, name, *a))
+    if not at_once:
+        monkeypatch.setattr(graph, "CONTRACTED_ROWS", 100)
+    rows = [((k * 7) % 500, (k * 7 + 7) % 500) for k in range(499)] + [(k, k - 1) for k in range(1000, 1300)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(rows, "a long, b long").repartition(16)).collect()}
+    assert got == {k: 0 for k in range(500)} | {k: 999 for k in range(999, 1300)}
+    assert (len(tables) == 2) == at_once
+
+
 def brute(rows, threshold):
     def ok(r):
         _, label, e = r
