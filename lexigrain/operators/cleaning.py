@@ -76,13 +76,18 @@ def dedup_exact(df: DataFrame, key: str = "text_norm", label: str = "label_star"
 
 
 def tfidf_vectors(df: DataFrame, doc: str, tokens: Column, sublinear: bool = False) -> DataFrame:
-    """doc, term, df, w: unit vectors with idf ln((1 + N) / (1 + df)) + 1; N counts the rows of df."""
-    terms = df.select(F.col(doc).alias("doc"), F.explode(tokens).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    found = terms.groupBy(F.col("term").alias("t")).agg(F.count(F.lit(1)).alias("df"))
+    """doc, term, df, w, rest: unit vectors with idf ln((1 + N) / (1 + df)) + 1; N counts the rows of df.
+
+    rest is the squared length of a vector from the term on, rare terms first. Texts are shuffled by doc and counted there, terms
+    once by term, where their document frequency is counted, and once by doc.
+    """
+    terms = df.repartition(doc).select(F.col(doc).alias("doc"), F.explode(tokens).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    known = terms.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
     n = df.agg(F.count(F.lit(1)).alias("n"))
     tf = 1 + F.ln(F.col("tf").cast("double")) if sublinear else F.col("tf").cast("double")
-    raw = terms.join(found, F.col("term") == F.col("t")).crossJoin(F.broadcast(n)).select("doc", "term", "df", (tf * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("raw"))
-    return raw.select("doc", "term", "df", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc")))).alias("w"))
+    raw = known.repartition("doc").crossJoin(F.broadcast(n)).select("doc", "term", "df", (tf * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("raw"))
+    vectors = raw.select("doc", "term", "df", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc")))).alias("w"))
+    return vectors.withColumn("rest", F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)))
 
 
 #: Rows of a term up to which one task joins them.
@@ -91,17 +96,26 @@ PREFIX_ROWS = 2_000
 
 def prefixes(vectors: DataFrame, above: float) -> DataFrame:
     """doc, term, w, after, cut, tail of the terms, rare ones first, that a near vector must share one of."""
-    order = Window.partitionBy("doc").orderBy("df", "term").rowsBetween(0, Window.unboundedFollowing)
     square = F.col("w") * F.col("w")
-    prefix = vectors.withColumn("rest", F.sum(square).over(order)).where(F.col("rest") >= above * above - 1e-9)
+    prefix = vectors.where(F.col("rest") >= above * above - 1e-9)
     whole = Window.partitionBy("doc")
     return prefix.select(
         "doc", "term", "df", "w", (F.col("rest") - square).alias("after"), F.max(F.struct("df", "term")).over(whole).alias("cut"), F.min(F.col("rest") - square).over(whole).alias("tail")
     ).where("df > 1").drop("df")
 
 
+#: Documents up to which a table of their ids is broadcast.
+BROADCAST_DOCS = 20_000
+
+
 def cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """i, j, cosine of pairs (i, j) of unit vectors (doc, term, w); pairs without a common term have no row."""
+    """i, j, cosine of pairs (i, j) of unit vectors (doc, term, w); pairs without a common term have no row.
+
+    pairs are written first, so that only the vectors of their documents are shuffled.
+    """
+    pairs = written(pairs.select("i", "j"), "few")
+    ids = written(pairs.select(F.col("i").alias("_id")).union(pairs.select("j")).distinct(), "ids")
+    vectors = vectors.join(F.broadcast(ids) if ids.count() <= BROADCAST_DOCS else ids, F.col("doc") == F.col("_id"), "left_semi")
     a = vectors.select(F.col("doc").alias("da"), F.col("term").alias("ta"), F.col("w").alias("wa"))
     b = vectors.select(F.col("doc").alias("db"), F.col("term").alias("tb"), F.col("w").alias("wb"))
     dots = pairs.join(a, F.col("i") == F.col("da")).join(b, (F.col("j") == F.col("db")) & (F.col("ta") == F.col("tb")))
@@ -109,7 +123,7 @@ def cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def near_pairs(vectors: DataFrame, above: float = 0.9, prefix: DataFrame | None = None) -> DataFrame:
-    """i, j, cosine of each pair i < j of unit vectors (doc, term, df, w) with a cosine above the bound.
+    """i, j, cosine of each pair i < j of unit vectors (doc, term, df, w, rest) with a cosine above the bound.
 
     Exact, by prefixes: terms from rare to frequent, a vector's prefix ends where the norm of the rest is under the bound,
     so a pair above it shares a term of both prefixes. Only these rare terms are joined. A candidate's products so far and
@@ -121,18 +135,25 @@ def near_pairs(vectors: DataFrame, above: float = 0.9, prefix: DataFrame | None
     if prefix is None:
         prefix = written(prefixes(vectors, above), "prefixes")
     sizes = written(prefix.groupBy(F.col("term").alias("_t")).agg(F.count(F.lit(1)).alias("_n")), "terms")
+    total, largest = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
     # at most 100,000 terms can hold more than one in 100,000 of the rows
-    most = max(PREFIX_ROWS, sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0] // 100_000)
-    hot = F.broadcast(sizes.where(F.col("_n") > most).select("_t", F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
-    dealt = prefix.join(hot, F.col("term") == F.col("_t"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    left, right = (dealt.select("term", "_parts", *[F.col(c).alias(c + n) for c in ("doc", "w", "after", "cut", "tail")]) for n in "ij")
-    left = left.withColumn("part", F.pmod(F.xxhash64("doci"), F.col("_parts")).cast("int")).drop("_parts")
-    right = right.withColumn("part2", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").withColumnRenamed("term", "term2")
-    met = left.join(right, (F.col("term") == F.col("term2")) & (F.col("part") == F.col("part2")) & (F.col("doci") < F.col("docj")))
-    first = [F.first(c).alias(c) for c in ("cuti", "cutj", "taili", "tailj")]
-    near = met.groupBy("doci", "docj").agg(F.sum(F.col("wi") * F.col("wj")).alias("dot"), F.min("afteri").alias("ai"), F.min("afterj").alias("aj"), *first)
-    follow = F.when(F.col("cuti") <= F.col("cutj"), F.col("taili") * F.col("aj")).otherwise(F.col("ai") * F.col("tailj"))
-    pairs = near.where(F.col("dot") + F.sqrt(F.greatest(follow, F.lit(0.0))) > above - 1e-9).select(F.col("doci").alias("i"), F.col("docj").alias("j"))
+    most = max(PREFIX_ROWS, total // 100_000)
+    columns = ("doc", "w", "after", "cut", "tail")
+    if largest <= most:  # both sides are the same rows, which are shuffled once
+        left, right = (prefix.select(F.col("term").alias(t), *[F.col(c).alias(c + n) for c in columns]) for t, n in (("term", "i"), ("term2", "j")))
+        same = F.col("term") == F.col("term2")
+    else:
+        hot = F.broadcast(sizes.where(F.col("_n") > most).select("_t", F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
+        dealt = prefix.join(hot, F.col("term") == F.col("_t"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+        left, right = (dealt.select("term", "_parts", *[F.col(c).alias(c + n) for c in columns]) for n in "ij")
+        left = left.withColumn("part", F.pmod(F.xxhash64("doci"), F.col("_parts")).cast("int")).drop("_parts")
+        right = right.withColumn("part2", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").withColumnRenamed("term", "term2")
+        same = (F.col("term") == F.col("term2")) & (F.col("part") == F.col("part2"))
+    # what may follow falls from one shared term to the next, so two numbers of a pair are enough
+    follow = F.when(F.col("cuti") <= F.col("cutj"), F.col("taili") * F.col("afterj")).otherwise(F.col("afteri") * F.col("tailj"))
+    met = left.join(right, same & (F.col("doci") < F.col("docj"))).select("doci", "docj", (F.col("wi") * F.col("wj")).alias("dot"), follow.alias("follow"))
+    near = met.groupBy("doci", "docj").agg(F.sum("dot").alias("dot"), F.min("follow").alias("follow"))
+    pairs = near.where(F.col("dot") + F.sqrt(F.greatest("follow", F.lit(0.0))) > above - 1e-9).select(F.col("doci").alias("i"), F.col("docj").alias("j"))
     return cosines(pairs, vectors).where(F.col("cosine") > above)
 
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lexigrain.functions import text as tx
-from lexigrain.operators import features, metrics, sampling
+from lexigrain.operators import cleaning, features, metrics, sampling
 from lexigrain.plans import grids
 
 
@@ -63,3 +63,33 @@ def test_shared_steps_give_the_same_texts(spark):
     got = both.select("k", "p", "m", "s", tx.words_text(F.col("p"), correct, join, ("end",)).alias("m2"), tx.running_text(F.col("p"), correct, join).alias("s2")).orderBy("k").collect()
     assert all((r["m"], r["s"]) == (r["m2"], r["s2"]) for r in got)
     assert got[0]["s"] == "Hòa ỏe tùy quý Of_The IN_THE of" and got[2]["s"] == "hòa thúy of_the" and got[6]["s"] == "in_the of_the end god"
+
+
+def test_tfidf_vectors_shuffle_texts_once_and_terms_twice(spark):
+    rows = [(1, "a b a"), (2, "b c"), (2, "c d"), (3, None), (None, "a"), (5, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    vectors = cleaning.tfidf_vectors(df, "id", F.split("text", " "))
+    assert exchanges(vectors) == 3  # texts by document, terms by term and by document
+    got = {(r["doc"], r["term"]): r for r in vectors.where("term <> ''").collect()}
+    idf = {t: np.log(7 / (1 + n)) + 1 for t, n in (("a", 2), ("b", 2), ("c", 1), ("d", 1))}
+    raw = {1: {"a": 2 * idf["a"], "b": idf["b"]}, 2: {"b": idf["b"], "c": 2 * idf["c"], "d": idf["d"]}, None: {"a": idf["a"]}}
+    assert {k: r["df"] for k, r in got.items()} == {(d, t): 2 if t in "ab" else 1 for d, ts in raw.items() for t in ts}
+    for d, ts in raw.items():
+        norm, rest = np.sqrt(sum(x * x for x in ts.values())), 0.0
+        for t in sorted(ts, key=lambda t: (idf[t] < idf["c"], t), reverse=True):  # the most frequent term first
+            rest += (ts[t] / norm) ** 2
+            assert abs(got[d, t]["w"] - ts[t] / norm) < 1e-12 and abs(got[d, t]["rest"] - rest) < 1e-12
+
+
+def test_only_vectors_of_paired_documents_are_joined(spark, monkeypatch):
+    """The tables that cosines() writes first: pairs and their documents, whatever the number of other vectors."""
+    tables, f = {}, cleaning.written
+    monkeypatch.setattr(cleaning, "written", lambda df, name: tables.setdefault(name, f(df, name)))
+    vectors = spark.createDataFrame([(d, t, 0.5**0.5) for d in range(50) for t in ("x", f"t{d % 25}")], "doc long, term string, w double")
+    pairs = spark.createDataFrame([(1, 26), (1, 2), (1, 99)], "i long, j long")
+    for most in (20_000, 0):
+        tables.clear()
+        monkeypatch.setattr(cleaning, "BROADCAST_DOCS", most)
+        got = {(r["i"], r["j"]): round(r["cosine"], 9) for r in cleaning.cosines(pairs, vectors).collect()}
+        assert got == {(1, 26): 1.0, (1, 2): 0.5}
+        assert {r["_id"] for r in tables["ids"].collect()} == {1, 2, 26, 99}
