@@ -93,17 +93,6 @@ def tfidf_vectors(df: DataFrame, doc: str, tokens: Column, sublinear: bool = Fal
 #: Rows of a term up to which one task joins them.
 PREFIX_ROWS = 2_000
 
-
-def prefixes(vectors: DataFrame, above: float) -> DataFrame:
-    """doc, term, w, after, cut, tail of the terms, rare ones first, that a near vector must share one of."""
-    square = F.col("w") * F.col("w")
-    prefix = vectors.where(F.col("rest") >= above * above - 1e-9)
-    whole = Window.partitionBy("doc")
-    return prefix.select(
-        "doc", "term", "df", "w", (F.col("rest") - square).alias("after"), F.max(F.struct("df", "term")).over(whole).alias("cut"), F.min(F.col("rest") - square).over(whole).alias("tail")
-    ).where("df > 1").drop("df")
-
-
 #: Documents up to which a table of their ids is broadcast.
 BROADCAST_DOCS = 20_000
 
@@ -122,41 +111,6 @@ def cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return dots.groupBy("i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
 
 
-def near_pairs(vectors: DataFrame, above: float = 0.9, prefix: DataFrame | None = None) -> DataFrame:
-    """i, j, cosine of each pair i < j of unit vectors (doc, term, df, w, rest) with a cosine above the bound.
-
-    Exact, by prefixes: terms from rare to frequent, a vector's prefix ends where the norm of the rest is under the bound,
-    so a pair above it shares a term of both prefixes. Only these rare terms are joined. A candidate's products so far and
-    the norms of what may follow its last shared term (in the vector whose prefix ends first: of what follows the prefix)
-    bound its cosine; whole vectors are joined for the few pairs that the bound leaves. A term of very many prefixes is
-    dealt to parts, each with one part of its rows against all. A written table of prefixes, or of some rows' prefixes, may
-    be given: only these rows are paired then.
-    """
-    if prefix is None:
-        prefix = written(prefixes(vectors, above), "prefixes")
-    sizes = written(prefix.groupBy(F.col("term").alias("_t")).agg(F.count(F.lit(1)).alias("_n")), "terms")
-    total, largest = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
-    # at most 100,000 terms can hold more than one in 100,000 of the rows
-    most = max(PREFIX_ROWS, total // 100_000)
-    columns = ("doc", "w", "after", "cut", "tail")
-    if largest <= most:  # both sides are the same rows, which are shuffled once
-        left, right = (prefix.select(F.col("term").alias(t), *[F.col(c).alias(c + n) for c in columns]) for t, n in (("term", "i"), ("term2", "j")))
-        same = F.col("term") == F.col("term2")
-    else:
-        hot = F.broadcast(sizes.where(F.col("_n") > most).select("_t", F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
-        dealt = prefix.join(hot, F.col("term") == F.col("_t"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-        left, right = (dealt.select("term", "_parts", *[F.col(c).alias(c + n) for c in columns]) for n in "ij")
-        left = left.withColumn("part", F.pmod(F.xxhash64("doci"), F.col("_parts")).cast("int")).drop("_parts")
-        right = right.withColumn("part2", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts").withColumnRenamed("term", "term2")
-        same = (F.col("term") == F.col("term2")) & (F.col("part") == F.col("part2"))
-    # what may follow falls from one shared term to the next, so two numbers of a pair are enough
-    follow = F.when(F.col("cuti") <= F.col("cutj"), F.col("taili") * F.col("afterj")).otherwise(F.col("afteri") * F.col("tailj"))
-    met = left.join(right, same & (F.col("doci") < F.col("docj"))).select("doci", "docj", (F.col("wi") * F.col("wj")).alias("dot"), follow.alias("follow"))
-    near = met.groupBy("doci", "docj").agg(F.sum("dot").alias("dot"), F.min("follow").alias("follow"))
-    pairs = near.where(F.col("dot") + F.sqrt(F.greatest("follow", F.lit(0.0))) > above - 1e-9).select(F.col("doci").alias("i"), F.col("docj").alias("j"))
-    return cosines(pairs, vectors).where(F.col("cosine") > above)
-
-
 def greedy_removal(pairs: DataFrame) -> DataFrame:
     """j, i, cosine: each row that goes and the first kept row that removes it, scanning rows in order.
 

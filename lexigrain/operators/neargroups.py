@@ -9,14 +9,17 @@ Results are exact and don't depend on how the groups were chosen; null ids link
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..storage import written
-from . import cleaning
+from ..storage import dropped, written
+from . import packed
 
 #: Radians that two angles may differ by rounding, far above the error of an arc cosine of sums of doubles near 1.
 SLACK = 1e-6
@@ -35,20 +38,36 @@ def _angle(cosine):
     return F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0)))
 
 
-def tight_groups(vectors: DataFrame, above: float = 0.9, keys: int = 4, rounds: int = 2) -> DataFrame:
+def _keys(v: packed.Packed, keys: int) -> DataFrame:
+    """doc, k, h: the least hash of a row's terms, for each of several hashes."""
+    schema = v.rows.select("doc", F.lit(0).alias("k"), F.lit(0).cast("long").alias("h")).schema
+    odd = np.random.default_rng(42).integers(1 << 62, 1 << 63, (keys, 2), dtype="u8") | np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, heads = b.column("ids").flatten().to_numpy().astype("u8"), b.column("ids").offsets.to_numpy()
+            heads = heads[:-1] - heads[0]
+            for k, (p, q) in enumerate(odd):
+                x = (ids + np.uint64(1)) * p
+                x = (x ^ (x >> np.uint64(29))) * q >> np.uint64(1)
+                yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(np.full(b.num_rows, k, "i4")), pa.array(np.minimum.reduceat(x, heads).astype("i8"))], ["doc", "k", "h"])
+
+    return v.rows.where((F.size("ids") > 0) & F.col("doc").isNotNull()).select("doc", "ids").mapInArrow(run, schema)
+
+
+def tight_groups(v: packed.Packed, sketch: packed.Sketches | None, above: float = 0.9, keys: int = 4, rounds: int = 2) -> DataFrame:
     """doc, grp, a: rows within half the link angle of a pivot (a = 0, its doc names the group); others have no row.
 
     A row tries the first rows that share one of its min-hash keys of terms, so there are at most `keys` tries for each row
     and round. The smallest pivot within reach takes it.
     """
     radius = math.acos(above) / 2 - SLACK
-    hashed = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("h")) for k in range(keys)])).alias("s")
-    open_ = written(vectors.groupBy("doc").agg(*[F.min(F.xxhash64("term", F.lit(k))).alias(f"h{k}") for k in range(keys)]).select("doc", hashed).select("doc", "s.*"), "keys")
+    open_ = written(_keys(v, keys), "keys")
     found = []
     for _ in range(rounds):
         leaders = open_.groupBy(F.col("k").alias("lk"), F.col("h").alias("lh")).agg(F.min("doc").alias("i"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        tries = open_.join(leaders, (F.col("k") == F.col("lk")) & (F.col("h") == F.col("lh"))).where("i < doc").select("i", F.col("doc").alias("j")).distinct()
-        near = written(cleaning.cosines(tries, vectors).select("i", "j", _angle(F.col("cosine")).alias("a")).where(F.col("a") <= radius), "tight")
+        tries = open_.join(leaders, (F.col("k") == F.col("lk")) & (F.col("h") == F.col("lh"))).where("i < doc").select("i", F.col("doc").alias("j"))
+        near = written(packed.cosines(packed.sketched(tries, sketch, math.cos(radius)), v).select("i", "j", _angle(F.col("cosine")).alias("a")).where(F.col("a") <= radius), "tight")
         taken = near.select(F.col("j").alias("_t")).distinct()
         mine = near.join(taken, F.col("i") == F.col("_t"), "left_anti").groupBy("j").agg(F.min(F.struct("i", "a")).alias("m")).select(F.col("j").alias("doc"), F.col("m.i").alias("grp"), F.col("m.a").alias("a"))
         mine = written(mine, "members")
@@ -61,34 +80,18 @@ def tight_groups(vectors: DataFrame, above: float = 0.9, keys: int = 4, rounds:
     return written(out, "groups")
 
 
-def _candidates(placed: DataFrame) -> DataFrame:
-    """i, j: a group of several and another group or single row, each pair once, that share a prefix term.
-
-    placed has term, g, many. A frequent term's rows are dealt to parts, each with one part of the right side against all left.
-    """
-    sizes = written(placed.groupBy(F.col("term").alias("_t")).agg(F.count(F.lit(1)).alias("_n")), "sizes")
-    # at most 100,000 terms can hold more than one in 100,000 of the rows
-    most = max(cleaning.PREFIX_ROWS, sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0] // 100_000)
-    hot = F.broadcast(sizes.where(F.col("_n") > most).select("_t", F.ceil(F.col("_n") / most).cast("int").alias("_p")))
-    dealt = placed.join(hot, F.col("term") == F.col("_t"), "left").withColumn("_p", F.coalesce("_p", F.lit(1))).drop("_t")
-    left = dealt.where("many").select("term", F.col("g").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_p") - 1)).alias("part"))
-    right = dealt.select(F.col("term").alias("term2"), F.col("g").alias("j"), "many", F.pmod(F.xxhash64("g"), F.col("_p")).cast("int").alias("part2"))
-    once = F.when(F.col("many"), F.col("i") < F.col("j")).otherwise(F.lit(True))
-    return left.join(right, (F.col("term") == F.col("term2")) & (F.col("part") == F.col("part2")) & once).select("i", "j").distinct()
-
-
-def near_groups(vectors: DataFrame, above: float = 0.9) -> NearGroups:
-    """The links of unit vectors (doc, term, df, w) with a cosine above the bound (0.5 to 1), as groups and pairs; see NearGroups."""
-    theta = math.acos(above)
-    vectors = vectors.where("doc IS NOT NULL")
-    members = tight_groups(vectors, above)
+def near_groups(v: packed.Packed, above: float = 0.9) -> NearGroups:
+    """The links of vectors with a cosine above the bound (0.5 to 1), as groups and pairs; see NearGroups."""
+    theta, sketch = math.acos(above), packed.sketches(v)
+    members = tight_groups(v, sketch, above)
     radii = written(members.groupBy(F.col("grp").alias("r_grp")).agg(F.max("a").alias("r")), "radii")
-    placed = cleaning.prefixes(vectors, above).join(members.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d"), "left").drop("_d")
+    placed = packed.prefixes(v, above).join(members.withColumnRenamed("doc", "_d"), F.col("doc") == F.col("_d"), "left").drop("_d")
     placed = written(placed, "placed")
-    listed = cleaning.near_pairs(vectors, above, placed.where("grp IS NULL").drop("grp", "a"))
+    listed = packed.cosines(packed.candidates(placed.where("grp IS NULL").select("term", "doc", "rest"), sketch, above), v, above)
     prefix = placed.select("doc", "term", F.coalesce("grp", "doc").alias("g"), F.coalesce("a", F.lit(0.0)).alias("a"), F.col("grp").isNotNull().alias("many"))
-    met = written(_candidates(prefix.select("term", "g", "many").distinct()), "met")
-    apart = met.join(cleaning.cosines(met, vectors).withColumnsRenamed({"i": "_i", "j": "_j"}), (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")), "left")
+    groups = prefix.select("term", F.col("g").alias("doc"), "many").distinct()
+    met = packed.candidates(groups, sketch and sketch.reaching(radii, "r_grp", "r"), above, groups=True)
+    apart = met.join(packed.cosines(met, v).withColumnsRenamed({"i": "_i", "j": "_j"}), (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")), "left")
     apart = apart.select("i", "j", _angle(F.coalesce("cosine", F.lit(0.0))).alias("apart"))
     for side in "ij":
         apart = apart.join(radii.select(F.col("r_grp").alias("_g"), F.col("r").alias(f"r{side}")), F.col(side) == F.col("_g"), "left").drop("_g")
@@ -104,8 +107,9 @@ def near_groups(vectors: DataFrame, above: float = 0.9) -> NearGroups:
         for s in "ij"
     )
     both = left.join(right, ["gi", "gj", "term"]).where(F.col("apart") - F.col("ai") - F.col("aj") <= theta + SLACK)
-    some = both.select(F.least("di", "dj").alias("i"), F.greatest("di", "dj").alias("j")).distinct()
-    pairs = written(listed.unionByName(cleaning.cosines(some, vectors).where(F.col("cosine") > above)), "pairs")
+    some = packed.sketched(both.select(F.least("di", "dj").alias("i"), F.greatest("di", "dj").alias("j")), sketch, above)
+    pairs = written(listed.unionByName(packed.cosines(some, v, above)), "pairs")
+    dropped(placed, met)
 
     linked = apart.where(all_near).select(F.col("i").alias("g"), F.col("j").alias("h"))
     own = radii.select(F.col("r_grp").alias("g"), F.col("r_grp").alias("h"))
@@ -123,7 +127,7 @@ def link_counts(found: NearGroups) -> DataFrame:
     return joined.select("doc", "grp", (F.coalesce("n_sure", F.lit(0)) + F.coalesce("n_pairs", F.lit(0))).alias("n_near")).where("n_near > 0")
 
 
-def greedy_removal(found: NearGroups, vectors: DataFrame) -> DataFrame:
+def greedy_removal(found: NearGroups, v: packed.Packed) -> DataFrame:
     """j, i, cosine: each row that goes and the first kept row that removes it, scanning rows in order.
 
     A row goes if a kept row before it is near; what has gone removes nothing. A round keeps the rows with no undecided near
@@ -150,13 +154,13 @@ def greedy_removal(found: NearGroups, vectors: DataFrame) -> DataFrame:
     groups = gone.join(by_group, F.col("grp") == F.col("g")).where("i < doc").select(F.col("doc").alias("j"), "i")
     rows = found.pairs.join(kept, F.col("i") == F.col("doc"), "left_semi").join(gone, F.col("j") == F.col("doc"), "left_semi").select("j", "i")
     first = written(groups.unionByName(rows).groupBy("j").agg(F.min("i").alias("i")), "first")
-    return cleaning.cosines(first, vectors).select("j", "i", F.round("cosine", 3).alias("cosine"))
+    return packed.cosines(first, v).select("j", "i", F.round("cosine", 3).alias("cosine"))
 
 
-def word_vectors(df: DataFrame, row: str = "row_id", key: str = "text_norm") -> DataFrame:
-    """Written TF-IDF unit vectors of the lower-case words of a text column; none for null and texts without words."""
+def word_vectors(df: DataFrame, row: str = "row_id", key: str = "text_norm") -> packed.Packed:
+    """TF-IDF vectors of the lower-case words of a text column; none for null and texts without words."""
     words = F.regexp_extract_all(F.coalesce(key, F.lit("")), F.lit(f"[{tx.WORD}]+"), F.lit(0))
-    return written(cleaning.tfidf_vectors(df, row, F.transform(words, lambda t: F.lower(t))), "tfidf")
+    return packed.packed(df, row, F.transform(words, lambda t: F.lower(t)))
 
 
 def dedup_near(df: DataFrame, row: str = "row_id", key: str = "text_norm", above: float = 0.9) -> tuple[DataFrame, DataFrame]:
