@@ -5,6 +5,8 @@ import time
 
 from pyspark.sql import functions as F
 
+from lexigrain import queries
+from lexigrain.plans import grids
 from lexigrain.storage import CLEANUP, dropped, written
 
 
@@ -26,3 +28,24 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
     assert os.path.isdir(path)
     dropped(out)
     assert not os.path.exists(path)
+
+
+def test_shuffles_by_term_and_by_document_are_not_there_at_once(spark, monkeypatch):
+    """Each statement that writes n-grams has one of the two shuffles, so the first is deleted before the second begins."""
+    plans = []
+
+    def noted(write):
+        def f(df, name, *more):
+            plans.append((name, df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(term"), df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(doc")))
+            return write(df, name, *more)
+
+        return f
+
+    for module in (grids, queries):
+        monkeypatch.setattr(module, "written", noted(module.written))
+    rows = spark.createDataFrame([(1, "train", "p", "a b a"), (2, "train", "n", "a c"), (3, "val", "p", "b a z")], "doc long, split string, label string, text string")
+    assert grids.wide_tables(rows).count() == 10
+    assert [p[0] for p in plans] == ["known", "features"] and plans[1][1] == 0
+    plans.clear()
+    queries._weights(spark, "/root/testdata/sf0.001")
+    assert [p[0] for p in plans] == ["known", "weights"] and plans[1][1] == 0
